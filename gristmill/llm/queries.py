@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gristmill.llm import bpe, chat, topk
+from gristmill.llm import bpe, chat, minhash, topk
 from gristmill.llm.common import documents, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +23,10 @@ def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 50 == 0, k=5)
 
 
+def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(documents(spark, sf_dir))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(spread(documents(spark, sf_dir).select("doc_id", "text")), vocabulary())
 
@@ -31,7 +35,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.collapsed(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_topk, op9_bpe, op10_chat)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_topk, op2_minhash, op9_bpe, op10_chat)}
 
 TOPK_SQL = """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
@@ -42,4 +46,18 @@ r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DES
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
-ORACLE: dict[str, str] = {"op1_topk": TOPK_SQL, "op10_chat": chat.ORACLE}
+MINHASH_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN w IS NULL OR len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+  ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3])) END AS s FROM w),
+k AS (SELECT list_sort(s) AS s, min(doc_id) AS c, len(any_value(s)) AS n FROM s WHERE len(s) > 0 GROUP BY list_sort(s)),
+x AS (SELECT c, n, unnest(s) AS g FROM k),
+i AS (SELECT a.c AS a, b.c AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS both FROM x a JOIN x b ON a.g = b.g AND a.c < b.c AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n) GROUP BY a.c, b.c),
+l AS (SELECT a, b FROM i WHERE 100 * both >= 80 * (na + nb - both) UNION SELECT b, a FROM i WHERE 100 * both >= 80 * (na + nb - both)),
+r AS (SELECT c AS u, c AS v FROM k UNION SELECT r.u, l.b FROM r JOIN l ON r.v = l.a),
+m AS (SELECT u AS c, min(v) AS component FROM r GROUP BY u)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, coalesce(m.component, s.doc_id) AS component_id, s.doc_id = coalesce(m.component, s.doc_id) AS kept
+FROM s LEFT JOIN k ON list_sort(s.s) = k.s LEFT JOIN m ON m.c = k.c
+"""
+
+ORACLE: dict[str, str] = {"op1_topk": TOPK_SQL, "op2_minhash": MINHASH_SQL, "op10_chat": chat.ORACLE}
