@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gristmill.llm import bpe, chat, minhash, topk
+from gristmill.llm import bpe, chat, minhash, topk, toxicity
 from gristmill.llm.common import documents, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +27,10 @@ def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(documents(spark, sf_dir))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scored(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(spread(documents(spark, sf_dir).select("doc_id", "text")), vocabulary())
 
@@ -35,7 +39,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.collapsed(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_topk, op2_minhash, op9_bpe, op10_chat)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_topk, op2_minhash, op3_toxicity, op9_bpe, op10_chat)}
 
 TOPK_SQL = """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
