@@ -2,13 +2,48 @@
 
 from __future__ import annotations
 
+import functools
+import os
 import tempfile
 import uuid
+import zipfile
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _LOCAL: dict[str, str] = {}
+_SHIPPED: dict[str, str] = {}
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package's source to the executors, once a session, so that they need no installation of it."""
+    sc = spark.sparkContext
+    if _SHIPPED.get("app") == sc.applicationId:
+        return
+    top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    if os.path.isdir(top):
+        with tempfile.TemporaryDirectory() as folder:
+            path = os.path.join(folder, "gristmill_src.zip")
+            with zipfile.ZipFile(path, "w") as z:
+                for at, _, files in os.walk(top):
+                    for f in files:
+                        if f.endswith(".py"):
+                            full = os.path.join(at, f)
+                            z.write(full, os.path.relpath(full, os.path.dirname(top)))
+            sc.addPyFile(path)
+    _SHIPPED["app"] = sc.applicationId
+
+
+def shipped(query: Callable) -> Callable:
+    """A query that ships the package first; its first argument is the session."""
+
+    @functools.wraps(query)
+    def run(spark: SparkSession, *args):
+        ship(spark)
+        return query(spark, *args)
+
+    return run
 
 
 def scratch_dir(spark: SparkSession) -> str:

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gristmill.llm import bpe, chat, minhash, pages, topk, toxicity
-from gristmill.llm.common import documents, spread
+from gristmill.llm import bpe, chat, minhash, pages, pii, topk, toxicity
+from gristmill.llm.common import documents, shipped, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -31,6 +31,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digests(documents(spark, sf_dir))
+
+
 def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
     return pages.main_text(spread(rows)).withColumn("n_chars", F.length("text").cast("long"))
@@ -44,7 +48,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.collapsed(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_topk, op2_minhash, op3_toxicity, op7_main_text, op9_bpe, op10_chat)}
+QUERIES: dict[str, Query] = {f.__name__: shipped(f) for f in (op1_topk, op2_minhash, op3_toxicity, op6_pii, op7_main_text, op9_bpe, op10_chat)}
 
 TOPK_SQL = """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
