@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import io
 import os
 import tempfile
 import uuid
@@ -17,21 +18,27 @@ _SHIPPED: dict[str, str] = {}
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package's source to the executors, once a session, so that they need no installation of it."""
+    """Send this package's source to the executors, once a session, so that they need no installation of it.
+
+    The archive lies in the shared folder, where a new executor finds it too.
+    """
     sc = spark.sparkContext
-    if _SHIPPED.get("app") == sc.applicationId:
-        return
     top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    if os.path.isdir(top):
-        with tempfile.TemporaryDirectory() as folder:
-            path = os.path.join(folder, "gristmill_src.zip")
-            with zipfile.ZipFile(path, "w") as z:
-                for at, _, files in os.walk(top):
-                    for f in files:
-                        if f.endswith(".py"):
-                            full = os.path.join(at, f)
-                            z.write(full, os.path.relpath(full, os.path.dirname(top)))
-            sc.addPyFile(path)
+    if _SHIPPED.get("app") == sc.applicationId or not os.path.isdir(top):
+        return
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as z:
+        for at, _, files in os.walk(top):
+            for f in sorted(files):
+                if f.endswith(".py"):
+                    full = os.path.join(at, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(top)))
+    target = f"{scratch_dir(spark)}/gristmill/src-{uuid.uuid4().hex}.zip"
+    path = sc._jvm.org.apache.hadoop.fs.Path(target)
+    out = path.getFileSystem(sc._jsc.hadoopConfiguration()).create(path)
+    out.write(bytearray(packed.getvalue()))
+    out.close()
+    sc.addPyFile(target)
     _SHIPPED["app"] = sc.applicationId
 
 
