@@ -69,8 +69,9 @@ def _matches(docs: DataFrame, kinds: dict[str, tuple[str, str]]) -> DataFrame:
         slim = slim.withColumn(m, F.when(F.col(f"has_{kind}"), F.regexp_extract_all("text", F.lit(pattern), F.lit(0))))
         slim = slim.withColumn(pieces, F.when(F.size(m) > 0, F.split("text", pattern, -1)))
         parts.append(F.when(F.size(m) > 0, F.transform(m, _around(kind, pieces))).otherwise(F.array()))
-    any_kind = F.greatest(*(F.col(f"has_{k}").cast("int") for k in kinds)) if len(kinds) > 1 else F.col(f"has_{next(iter(kinds))}").cast("int")
-    rows = slim.where(any_kind == 1).select("rid", F.explode(F.concat(*parts) if len(parts) > 1 else parts[0]).alias("f")).select("rid", "f.*")
+    # Outer: else the planner adds a filter on the array's size, with all patterns matched once more.
+    found = slim.select("rid", F.explode_outer(F.concat(*parts) if len(parts) > 1 else parts[0]).alias("f")).where("f is not null")
+    rows = found.select("rid", "f.*").dropDuplicates(["rid", "kind", "k"])
     # Places are running sums; rows are matches only, so this moves little.
     w = Window.partitionBy("rid", "kind").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
     end = F.sum(F.col("gap") + F.length("m")).over(w)
@@ -132,7 +133,7 @@ def spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     Places are in code points, end exclusive, by start and then kind as listed.
     Null and empty texts have no spans.  Repeated rows are rows of their own.
     """
-    rows = spread(docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))).withColumn("rid", F.monotonically_increasing_id())
+    rows = spread(docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))).withColumn("rid", F.struct(F.xxhash64("doc_id", "text").alias("a"), F.xxhash64("text", F.lit(1)).alias("b")))
     order = F.array_position(F.array(*(F.lit(k) for k in KINDS)), F.col("kind"))
     base = cut(base_spans(rows), "spans")
     grown = grown_spans(rows, base)
