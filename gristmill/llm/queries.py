@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gristmill.llm import bpe, chat, minhash, pages, pii, topk, toxicity
+from gristmill.llm import bpe, chat, decontam, minhash, pages, pii, topk, toxicity
 from gristmill.llm.common import documents, shipped, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,6 +40,10 @@ def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.main_text(spread(rows)).withColumn("n_chars", F.length("text").cast("long"))
 
 
+def op8_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.matches(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(spread(documents(spark, sf_dir).select("doc_id", "text")), vocabulary())
 
@@ -48,7 +52,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.collapsed(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: shipped(f) for f in (op1_topk, op2_minhash, op3_toxicity, op6_pii, op7_main_text, op9_bpe, op10_chat)}
+QUERIES: dict[str, Query] = {f.__name__: shipped(f) for f in (op1_topk, op2_minhash, op3_toxicity, op6_pii, op7_main_text, op8_decontam, op9_bpe, op10_chat)}
 
 TOPK_SQL = """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
@@ -73,4 +77,4 @@ SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, coalesce(m.component, s
 FROM s LEFT JOIN k ON list_sort(s.s) = k.s LEFT JOIN m ON m.c = k.c
 """
 
-ORACLE: dict[str, str] = {"op1_topk": TOPK_SQL, "op2_minhash": MINHASH_SQL, "op10_chat": chat.ORACLE}
+ORACLE: dict[str, str] = {"op1_topk": TOPK_SQL, "op2_minhash": MINHASH_SQL, "op8_decontam": decontam.ORACLE, "op10_chat": chat.ORACLE}
