@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gristmill.llm import bpe, chat, decontam, minhash, pages, pii, topk, toxicity
+from gristmill.llm import bpe, chat, decontam, minhash, pages, pii, quality, secrets, topk, toxicity
 from gristmill.llm.common import documents, shipped, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,6 +31,16 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(documents(spark, sf_dir), path="source")
+    return found.withColumn("secret_sha256", F.sha2(F.col("secret").cast("binary"), 256)).drop("secret")
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return quality.scored(documents(spark, sf_dir), labels, F.col("source"), F.concat_ws("/", "source", "lang"))
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digests(documents(spark, sf_dir))
 
@@ -52,7 +62,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.collapsed(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: shipped(f) for f in (op1_topk, op2_minhash, op3_toxicity, op6_pii, op7_main_text, op8_decontam, op9_bpe, op10_chat)}
+QUERIES: dict[str, Query] = {f.__name__: shipped(f) for f in (op1_topk, op2_minhash, op3_toxicity, op4_secrets, op5_quality, op6_pii, op7_main_text, op8_decontam, op9_bpe, op10_chat)}
 
 TOPK_SQL = """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
