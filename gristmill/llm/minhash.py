@@ -10,8 +10,10 @@ Jaccard on the full sets.
 Only connectivity is asked for, so candidates are not expanded into pairs:
 equal sets are one class, each band's bucket is tested as a star around its
 least class, and later rounds look only at buckets that still hold more than one
-component.  There, small buckets are tested pair by pair, and large ones are
-first split by a second band that their members must share as well.
+component.  Those are looked through in blocks of bounded size, by byte
+sketches of the signatures: first each member is tested against its likeliest
+partner of another component, then families are made of what likely pairs hold
+together, and in them whatever is still apart is compared by full sets.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gristmill.llm.common import cut, discard, spread
@@ -31,10 +33,13 @@ from gristmill.llm.components import components
 #: Words of a shingle, and bands and rows of a band.  At a similarity of 0.8 a
 #: pair shares no band with probability (1 - 0.8^5)^40 = 1.3e-7.
 WORDS, BANDS, ROWS = 4, 40, 5
-#: Buckets up to this size are tested pair by pair after the star; larger ones are split first.
-SMALL = 24
-#: Levels of splitting; at the last one what is left is tested pair by pair.
-LEVELS = 3
+#: Members of one side of a block in which an unresolved bucket is looked through.
+CELL = 512
+#: Characters of one side of a block in which families are compared by their full sets.
+CELL_CHARS = 4_000_000
+#: A pair is confirmed by its full sets if its sketches (a byte of each coordinate) agree this far below the
+#: wanted similarity: 5.3 standard deviations of 200 coordinates, which a similar pair misses 6e-8 of the times.
+SLACK = 0.15
 #: Words with remembered hashes in a worker; the table is emptied when full.
 CACHE = 500_000
 #: Shingles whose coordinates are worked out together.
@@ -116,7 +121,7 @@ def band_keys(signature: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np
 
 
 def sketches(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = WORDS, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, n_shingles, digest of the set (null if empty), bands (null if empty)."""
+    """doc_id, n_shingles, digest of the set, bands, sketch (a byte of each coordinate); the last three null for an empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _Hashes()
@@ -130,21 +135,23 @@ def sketches(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size:
                     held += sizes[stop]
                     stop += 1
                 sets = [shingle_set(t, hashes, size) for t in texts.slice(start, stop - start).to_pylist()]
-                full, keys, i = [k for k, s in enumerate(sets) if len(s)], {}, 0
+                full, keys, bytes_of, i = [k for k, s in enumerate(sets) if len(s)], {}, {}, 0
                 while i < len(full):
                     j, n = i, 0
                     while j < len(full) and (j == i or n < CHUNK):
                         n += len(sets[full[j]])
                         j += 1
-                    keys.update(zip(full[i:j], band_keys(signatures([sets[k] for k in full[i:j]], bands * rows), bands, rows), strict=True))
+                    signature = signatures([sets[k] for k in full[i:j]], bands * rows)
+                    keys.update(zip(full[i:j], band_keys(signature, bands, rows), strict=True))
+                    bytes_of.update(zip(full[i:j], (x.tobytes() for x in signature.astype(np.uint8)), strict=True))
                     i = j
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(start, stop - start), pa.array([len(s) for s in sets], pa.int64()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()), pa.array([keys.get(k) for k in range(len(sets))], pa.list_(pa.int64()))],
-                    names=["doc_id", "n_shingles", "digest", "bands"],
+                    [ids.slice(start, stop - start), pa.array([len(s) for s in sets], pa.int64()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()), pa.array([keys.get(k) for k in range(len(sets))], pa.list_(pa.int64())), pa.array([bytes_of.get(k) for k in range(len(sets))], pa.binary())],
+                    names=["doc_id", "n_shingles", "digest", "bands", "sketch"],
                 )
                 start = stop
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, n_shingles long, digest binary, bands array<long>")
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, n_shingles long, digest binary, bands array<long>, sketch binary")
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, size: int = WORDS, percent: int = 80) -> DataFrame:
@@ -181,10 +188,115 @@ def _stars(groups: DataFrame) -> DataFrame:
     return pairs.select(F.col("m.c").alias("a"), F.col("c").alias("b")).distinct()
 
 
-def _pairs(groups: DataFrame) -> DataFrame:
-    """All pairs of different components within buckets."""
-    x, y = groups.select("g", F.col("c").alias("a"), F.col("comp").alias("ca")), groups.select("g", F.col("c").alias("b"), F.col("comp").alias("cb"))
-    return x.join(y, "g").where("a < b and ca <> cb").select("a", "b").distinct()
+def _dealt(members: DataFrame, group: str, sizes: DataFrame) -> DataFrame:
+    """Blocks (group, i, j) in which every member outside its group's main component meets every member.
+
+    sizes: group, main, ka and km: the numbers of blocks of all members and of
+    those outside the main component.  Members come with few: whether they stand
+    on the side of the latter.
+    """
+    rows = members.join(sizes, group)
+    chunk = lambda k, seed: F.pmod(F.xxhash64("c", F.lit(seed)), F.col(k)).cast("int")
+    every = rows.select(group, F.explode(F.sequence(F.lit(0), F.col("km") - 1)).alias("i"), chunk("ka", 1).alias("j"), F.lit(False).alias("few"), "c", "comp")
+    few = rows.where("comp <> main").select(group, chunk("km", 2).alias("i"), F.explode(F.sequence(F.lit(0), F.col("ka") - 1)).alias("j"), F.lit(True).alias("few"), "c", "comp")
+    return every.unionByName(few)
+
+
+def _blocks(n: Column, w: Column | None = None) -> Column:
+    return F.greatest(F.ceil(n / CELL), F.ceil(w / CELL_CHARS) if w is not None else F.lit(1), F.lit(1)).cast("int")
+
+
+def _cells(rest: DataFrame, classes: DataFrame) -> DataFrame:
+    """Blocks of about CELL members a side that hold every pair of different components of each unresolved bucket; rest: g, c, comp."""
+    by_comp = rest.groupBy("g", "comp").agg(F.count(F.lit(1)).alias("n"))
+    top = by_comp.groupBy("g").agg(F.sum("n").alias("n"), F.max(F.struct("n", "comp")).alias("top"))
+    sizes = top.select("g", F.col("top.comp").alias("main"), _blocks(F.col("n")).alias("ka"), _blocks(F.col("n") - F.col("top.n")).alias("km"))
+    cells = _dealt(rest.select("g", "c", "comp"), "g", sizes).join(classes.select("c", "sketch"), "c")
+    return cells.groupBy("g", "i", "j").agg(F.collect_list(F.struct("few", "c", "comp", "sketch")).alias("m")).select("m")
+
+
+def _likely(cells: DataFrame, spanning: bool, least: int) -> DataFrame:
+    """Pairs of different components whose sketches agree in at least `least` places.
+
+    The best pair of each member outside the main component; or, spanning, pairs
+    that hold together what all such pairs of the cell would.  Either way fewer
+    than the cell has members.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column, left, right = batch.column(0), [], []
+            for r in range(batch.num_rows):
+                m = column[r].values
+                few, c, comp = (m.field(f).to_numpy(zero_copy_only=False) for f in ("few", "c", "comp"))
+                sk = np.frombuffer(b"".join(m.field("sketch").to_pylist()), np.uint8).reshape(len(c), -1)
+                there = np.nonzero(~few)[0]
+                _, family = np.unique(c, return_inverse=True)
+                for x in np.nonzero(few)[0]:
+                    other = there[comp[there] != comp[x]]
+                    if spanning:
+                        other = other[family[other] != family[x]]
+                    if not len(other):
+                        continue
+                    agree = (sk[other] == sk[x]).sum(axis=1)
+                    if spanning:
+                        other = other[agree >= least]
+                        met, first = np.unique(family[other], return_index=True)
+                        other = other[first]
+                        family[np.isin(family, met)] = family[x]
+                    else:
+                        best = int(agree.argmax())
+                        other = other[best : best + 1] if agree[best] >= least else other[:0]
+                    left.append(np.minimum(c[x], c[other]))
+                    right.append(np.maximum(c[x], c[other]))
+            empty = np.empty(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([empty, *z]), pa.int64()) for z in (left, right)], names=["a", "b"])
+
+    return cells.mapInArrow(run, "a long, b long").distinct()
+
+
+def _family_links(members: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links between components within families, from full sets, at most one from a member to another component.
+
+    members: family, c, comp.  The members outside a family's largest component
+    meet all others, in blocks of bounded size: each text travels once for
+    every block of the other side.
+    """
+    weighed = cut(members.join(texts.select("c", F.length("text").alias("w")), "c"), "family")
+    by_comp = weighed.groupBy("family", "comp").agg(F.count(F.lit(1)).alias("n"), F.sum("w").alias("w"))
+    totals = by_comp.groupBy("family").agg(F.sum("n").alias("n"), F.sum("w").alias("w"), F.max(F.struct("n", "w", "comp")).alias("top"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    sizes = totals.select("family", F.col("top.comp").alias("main"), _blocks(F.col("n"), F.col("w")).alias("ka"), _blocks(F.col("n") - F.col("top.n"), F.col("w") - F.col("top.w")).alias("km"))
+    cells = _dealt(weighed.select("family", "c", "comp"), "family", sizes).join(texts, "c").groupBy("family", "i", "j").agg(F.collect_list(F.struct("few", "c", "comp", "text")).alias("m")).select("m")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = _Hashes()
+        for batch in batches:
+            left, right = [], []
+            for r in range(batch.num_rows):
+                m = batch.column(0)[r].values
+                few, c, comp = (m.field(f).to_numpy(zero_copy_only=False) for f in ("few", "c", "comp"))
+                if not few.any() or few.all():
+                    continue
+                sets = [shingle_set(t, hashes, size) for t in m.field("text").to_pylist()]
+                there = np.nonzero(~few)[0]
+                sizes = np.array([len(sets[y]) for y in there])
+                owner, flat = np.repeat(np.arange(len(there)), sizes), np.concatenate([sets[y] for y in there])
+                order = np.argsort(flat, kind="stable")
+                owner, flat = owner[order], flat[order]
+                for x in np.nonzero(few)[0]:
+                    lo, hi = np.searchsorted(flat, sets[x], "left"), np.searchsorted(flat, sets[x], "right")
+                    n = hi - lo
+                    places = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+                    both = np.bincount(owner[places], minlength=len(there))
+                    near = np.nonzero((100 * both >= percent * (sizes + len(sets[x]) - both)) & (comp[there] != comp[x]))[0]
+                    _, first = np.unique(comp[there[near]], return_index=True)
+                    y = c[there[near[first]]]
+                    left.append(np.minimum(c[x], y))
+                    right.append(np.maximum(c[x], y))
+            empty = np.empty(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([empty, *z]), pa.int64()) for z in (left, right)], names=["a", "b"])
+
+    return cells.mapInArrow(run, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = WORDS, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -197,7 +309,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """
     docs = spread(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")))
     sketch = cut(sketches(docs, "doc_id", "text", size, bands, rows), "sketch")
-    classes = cut(sketch.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("c"), F.first("bands").alias("bands")), "classes")
+    classes = cut(sketch.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("c"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "classes")
     buckets = classes.select("c", F.explode("bands").alias("g"))
     shared = buckets.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("g")
     groups = cut(buckets.join(shared, "g").select("g", "c"), "buckets")
@@ -209,34 +321,29 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             return g.withColumn("comp", F.col("c"))
         return g.join(labels.select(F.col("u").alias("c"), F.col("v").alias("_v")), "c", "left").select("g", "c", F.coalesce("_v", "c").alias("comp"))
 
-    def test(pairs: DataFrame) -> None:
+    def join_up(found: DataFrame) -> None:
         nonlocal labels
-        links = cut(confirmed(pairs, texts, size, percent), "links")
-        edges = links if labels is None else links.unionByName(labels.select(F.col("u").alias("a"), F.col("v").alias("b")))
-        labels = components(edges)
+        links = cut(found, "links")
+        labels = components(links if labels is None else links.unionByName(labels.select(F.col("u").alias("a"), F.col("v").alias("b"))))
 
-    def unresolved(g: DataFrame) -> DataFrame:
-        now = labelled(g)
+    def unresolved() -> DataFrame:
+        now = labelled(groups)
         mixed = now.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi and n > 2")
-        return now.join(mixed.select("g", "n"), "g")
-
-    for level in range(LEVELS):
-        test(_stars(labelled(groups)))
-        rest = cut(unresolved(groups), "rest")
-        small = rest if level == LEVELS - 1 else rest.where(F.col("n") <= SMALL)
-        if small.limit(1).count():
-            test(_pairs(small))
-        large = rest.where(F.col("n") > SMALL)
-        if level == LEVELS - 1 or not large.limit(1).count():
-            discard(rest)
-            break
-        # A second band that members must share as well splits a bucket without losing similar pairs.
-        split = large.select("g", "c").join(classes, "c").select(F.col("g").alias("g0"), "c", F.explode("bands").alias("b")).where("b <> g0").select(F.xxhash64(F.col("g0").bitwiseXOR(F.col("b")), F.lit(level)).alias("g"), "c").distinct()
-        again = split.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("g")
-        finer = cut(split.join(again, "g").select("g", "c"), "buckets")
-        discard(groups)
+        return cut(now.join(mixed.select("g"), "g"), "rest")
+
+    join_up(confirmed(_stars(labelled(groups)), texts, size, percent))
+    least = int(bands * rows * (percent / 100 - SLACK))
+    rest = unresolved()
+    if rest.limit(1).count():
+        join_up(confirmed(_likely(_cells(rest, classes), False, least), texts, size, percent))
         discard(rest)
-        groups = finer
+        rest = unresolved()
+        families = components(_likely(_cells(rest, classes), True, least))
+        members = families.select(F.col("v").alias("family"), F.col("u").alias("c")).unionByName(families.select(F.col("v").alias("family"), F.col("v").alias("c")).distinct())
+        comp = rest.select("c", "comp").distinct()
+        join_up(_family_links(members.join(comp, "c"), texts, size, percent))
+    discard(rest)
+    discard(groups)
     discard(texts)
     ids = classes.select("digest", "c")
     if labels is not None:
