@@ -48,7 +48,7 @@ def category_score(parts: dict[str, tuple[Column, float]]) -> Column:
     total = sum(w for _, w in parts.values())
     value = sum((F.coalesce(c, F.lit(0.0)) * w for c, w in parts.values()), F.lit(0.0)) / total
     tally = lambda f: sum((f(F.coalesce(c, F.lit(0.0))).cast("int") for c, _ in parts.values()), F.lit(0))
-    return F.struct(F.round(value * 100, 2).alias("score"), tally(lambda c: c >= 0.8).alias("passed"), tally(lambda c: (c < 0.8) & (c >= 0.5)).alias("warned"), tally(lambda c: c < 0.5).alias("failed"))
+    return F.struct(F.round(value * 100, 8).alias("score"), tally(lambda c: c >= 0.8).alias("passed"), tally(lambda c: (c < 0.8) & (c >= 0.5)).alias("warned"), tally(lambda c: c < 0.5).alias("failed"))
 
 
 def covered(have: Column, needed: Column, percent: int = 60) -> Column:

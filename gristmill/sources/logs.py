@@ -51,8 +51,10 @@ def daily_from_arrays(events: DataFrame, day: Column, viewer: str, ids: str) ->
 
 def read_events(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
     """Good rows of a JSON-lines path, and its (good, bad) counts.  Reading a path without a good row is the caller's error to raise: see checked()."""
-    raw = spark.read.schema(f"{schema}, _bad string").option("columnNameOfCorruptRecord", "_bad").json(path)
-    return raw.where("_bad is null").drop("_bad"), raw.agg(F.count_if(F.col("_bad").isNull()).alias("good"), F.count_if(F.col("_bad").isNotNull()).alias("bad"))
+    options = {"columnNameOfCorruptRecord": "_bad", "mode": "PERMISSIVE"}
+    raw = spark.read.text(path).where("trim(value) <> ''").select(F.from_json("value", f"{schema}, _bad string", options).alias("e")).select("e.*")
+    counts = raw.agg(F.count_if(F.col("_bad").isNull()).alias("good"), F.count_if(F.col("_bad").isNotNull()).alias("bad"))
+    return raw.where("_bad is null").drop("_bad"), counts
 
 
 def checked(counts: DataFrame) -> None:
