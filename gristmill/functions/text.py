@@ -286,3 +286,24 @@ def number(c: Column) -> Column:
 
 def truthy(c: Column) -> Column:
     return F.lower(F.regexp_replace(F.coalesce(c, F.lit("")), '"', "")).isin("true", "1", "yes", "y")
+
+
+#: Hosts of posting systems, and where a URL names the board: in the path or as the first host label.
+PROVIDERS = (("greenhouse", "boards.greenhouse.io", "path"), ("lever", "jobs.lever.co", "path"), ("ashby", "jobs.ashbyhq.com", "path"), ("workable", "apply.workable.com", "path"), ("recruitee", ".recruitee.com", "host"), ("personio", ".jobs.personio.de", "host"))
+
+
+def provider(url: Column, rules: tuple[tuple[str, str, str], ...] = PROVIDERS) -> Column:
+    """Struct (provider, board) by host and path; null for other hosts and for URLs that name no board."""
+    host = F.lower(F.regexp_extract(url, r"^[a-zA-Z]+://([^/:?#]+)", 1))
+    first = F.nullif(F.regexp_extract(url, r"^[a-zA-Z]+://[^/?#]+/([^/?#]+)", 1), F.lit(""))
+    out = F.lit(None).cast("struct<provider:string,board:string>")
+    for name, suffix, where in reversed(rules):
+        board = F.lower(first) if where == "path" else F.nullif(F.substring_index(host, ".", 1), F.lit(""))
+        hit = (host == suffix) if where == "path" else host.endswith(suffix)
+        out = F.when(hit & board.isNotNull(), F.struct(F.lit(name).alias("provider"), board.alias("board"))).otherwise(out)
+    return out
+
+
+def site_host(info: Column) -> Column:
+    """Host of the website in a JSON object, white space trimmed; null without one."""
+    return domain(F.trim(F.get_json_object(info, "$.website")))

@@ -42,3 +42,9 @@ def in_quiet_hours(at: Column, zone: Column, start: Column, end: Column) -> Colu
 def crosses(at: Column, days: list[int], since: Column, until: Column) -> Column:
     """Whether at plus any of the ages falls in (since, until]."""
     return F.exists(F.array(*(F.timestamp_add("DAY", F.lit(d), at) for d in days)), lambda t: (t > since) & (t <= until))
+
+
+def digest_due(now: Column, zone: Column, hour: Column, last: Column) -> Column:
+    """Whether the local hour has come and nothing went out on this local day yet."""
+    local = F.from_utc_timestamp(now, zone)
+    return (F.hour(local) >= hour) & (last.isNull() | (F.to_date(F.from_utc_timestamp(last, zone)) < F.to_date(local)))

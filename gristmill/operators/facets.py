@@ -67,8 +67,8 @@ def top(counts: DataFrame, k: int, n: str = "n", by: str = "value") -> DataFrame
 def distinct_and_top(df: DataFrame, key: str, k: int = 50) -> DataFrame:
     """key, n, distinct: the k commonest keys (ties by key) and the exact number of keys."""
     counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    total = counts.agg(F.count(F.lit(1)).alias("n_distinct"))
-    return counts.orderBy(F.desc("n"), key).limit(k).crossJoin(total)  # k rows by one row
+    total = counts.agg(F.count(F.lit(1))).scalar()
+    return counts.orderBy(F.desc("n"), key).limit(k).withColumn("n_distinct", total)
 
 
 def cooccurrence(pairs: DataFrame, doc: str, item: str, k: int = 24) -> DataFrame:

@@ -110,8 +110,7 @@ def resolve(df: DataFrame, threads: DataFrame, names: DataFrame, thread: str, na
 def report_diff(base: DataFrame, other: DataFrame, key: str, value: str) -> DataFrame:
     """key, delta, worst: what the other report changes, and where it drops most."""
     d = base.select(key, F.col(value).alias("_b")).join(other.select(key, F.col(value).alias("_t")), key).select(key, F.round(F.col("_t") - F.col("_b"), 4).alias("delta"))
-    low = d.agg(F.min("delta").alias("_low"))
-    return d.crossJoin(F.broadcast(low)).select(key, "delta", (F.col("delta") == F.col("_low")).alias("worst"))  # one row
+    return d.select(key, "delta", (F.col("delta") == d.agg(F.min("delta")).scalar()).alias("worst"))
 
 
 def climb(df: DataFrame, key: str, parent: str, depth: int = 8) -> DataFrame:

@@ -154,9 +154,8 @@ def response(df: DataFrame, key: str, answered_after: str, min_n: int = 10, min_
 def benchmark_rate(df: DataFrame, who: str, answered: str, min_n: int = 10) -> DataFrame:
     """who, n, n_answered, others, others_answered, both rates (null below min_n): each against everyone else."""
     own = df.groupBy(who).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(answered)).alias("n_answered"))
-    total = own.agg(F.sum("n").alias("all_n"), F.sum("n_answered").alias("all_answered"))
-    rest = own.crossJoin(F.broadcast(total))  # one row
-    rest = rest.select(who, "n", "n_answered", F.greatest(F.lit(0), F.col("all_n") - F.col("n")).alias("others"), F.greatest(F.lit(0), F.col("all_answered") - F.col("n_answered")).alias("others_answered"))
+    all_n, all_answered = own.agg(F.sum("n")).scalar(), own.agg(F.sum("n_answered")).scalar()
+    rest = own.select(who, "n", "n_answered", F.greatest(F.lit(0), all_n - F.col("n")).alias("others"), F.greatest(F.lit(0), all_answered - F.col("n_answered")).alias("others_answered"))
     rate = lambda a, b: F.when((F.col("n") >= min_n) & (F.col("others") >= min_n), F.col(a) / F.col(b))
     return rest.withColumn("rate", rate("n_answered", "n")).withColumn("others_rate", rate("others_answered", "others"))
 

@@ -152,3 +152,34 @@ def _(spark, sf):
     e = table(spark, sf, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
     publish.export_day(e, path, "2024-01-30", "user_id")
     return spark.read.schema(e.schema).json(f"{path}/2024-01-30/data")
+
+
+@query("url_provider", """SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'lever' WHEN 1 THEN 'personio' END AS provider, CASE page_id % 4 WHEN 0 THEN 'acme' || page_id WHEN 1 THEN 'co' || page_id END AS board, CASE WHEN page_id % 3 = 0 THEN 'acme' || page_id || '.example' END AS host FROM pages""")
+def _(spark, sf):
+    k, n = F.col("page_id") % 4, F.col("page_id").cast("string")
+    url = F.when(k == 0, F.concat(F.lit("https://jobs.lever.co/Acme"), n, F.lit("/1?x=2"))).when(k == 1, F.concat(F.lit("https://co"), n, F.lit(".jobs.personio.de/job/7"))).when(k == 2, "https://jobs.lever.co/").otherwise(F.col("url"))
+    info = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit('{"website": " https://www.Acme'), n, F.lit('.example/about "}'))).otherwise("{}")
+    p = tx.provider(url)
+    return table(spark, sf, "pages").select("page_id", p.getField("provider").alias("provider"), p.getField("board").alias("board"), tx.site_host(info).alias("host"))
+
+
+@query("digest_due", """SELECT event_id, extract('hour' FROM ts + INTERVAL 2 HOUR) >= 9 AND (event_id % 3 = 0 OR CAST(ts - to_hours(CAST(event_id % 30 AS INTEGER)) + INTERVAL 2 HOUR AS DATE) < CAST(ts + INTERVAL 2 HOUR AS DATE)) AS due FROM events""")
+def _(spark, sf):
+    from gristmill.functions.times import digest_due
+
+    k = F.col("event_id")
+    last = F.when(k % 3 != 0, F.timestamp_add("HOUR", (-(k % 30)).cast("int"), F.col("ts")))
+    return table(spark, sf, "events").select("event_id", digest_due(F.col("ts"), F.lit("+02:00"), F.lit(9), last).alias("due"))
+
+
+@query("match_bound", "SELECT p_size AS n, round(ceil(60 * p_size / 100.0) / (sqrt(5) * sqrt(p_size + power(4 * greatest(p_size, 6), 2))), 9) AS least FROM (SELECT DISTINCT p_size FROM part)")
+def _(spark, sf):
+    from gristmill.operators.match import min_cosine
+
+    return table(spark, sf, "part").select(F.col("p_size").alias("n")).distinct().select("n", F.round(min_cosine(F.lit(60), F.col("n"), F.lit(5)), 9).alias("least"))
+
+
+@query("salary_lateral", "SELECT l_orderkey, l_linenumber, tier FROM lineitem, LATERAL (SELECT CASE WHEN l_quantity > 40 THEN 'a' WHEN l_quantity > 20 THEN 'b' ELSE 'c' END AS tier) WHERE l_orderkey < 500")
+def _(spark, sf):
+    table(spark, sf, "lineitem").createOrReplaceTempView("gm_lineitem")
+    return spark.sql("SELECT l_orderkey, l_linenumber, tier FROM gm_lineitem, LATERAL (SELECT CASE WHEN l_quantity > 40 THEN 'a' WHEN l_quantity > 20 THEN 'b' ELSE 'c' END AS tier) WHERE l_orderkey < 500")
