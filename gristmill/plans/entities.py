@@ -135,7 +135,7 @@ def _(spark, sf):
     return skills(spark, sf).select("id", match.covered(F.col("skills"), F.array(*(F.lit(f"Brand#{i}") for i in (1, 2, 3)))).alias("covered"))
 
 
-@query("market_coverage", f"WITH {SKILLS} SELECT count(*) AS total, count_if(list_has_any(skills, ['Brand#1', 'Brand#2'])) AS covered, round(count_if(list_has_any(skills, ['Brand#1', 'Brand#2'])) * 100.0 / count(*), 2) AS percent FROM sk")
+@query("market_coverage", f"WITH {SKILLS} SELECT count(*) AS total, count(*) FILTER (WHERE list_has_any(skills, ['Brand#1', 'Brand#2'])) AS covered, round(count(*) FILTER (WHERE list_has_any(skills, ['Brand#1', 'Brand#2'])) * 100.0 / count(*), 2) AS percent FROM sk")
 def _(spark, sf):
     return match.market_coverage(skills(spark, sf), ["Brand#1", "Brand#2"])
 
@@ -171,7 +171,7 @@ def _(spark, sf):
 
 
 @query("ghost_evidence", """WITH a AS (SELECT DISTINCT event_id % 50 AS job_id, user_id, 'a' AS channel FROM events WHERE event_type = 'error'), r AS (SELECT DISTINCT event_id % 50 AS job_id, user_id, 'r' AS channel FROM events WHERE event_type = 'click' AND date_diff('day', CAST(ts AS DATE), DATE '2024-02-10') >= 30), b AS (SELECT * FROM a UNION ALL SELECT * FROM r)
-SELECT job_id, count_if(channel = 'a') AS silent, count_if(channel = 'r') AS reports, count(DISTINCT user_id) AS contributors, CASE WHEN job_id % 10 = 0 THEN 'none' WHEN count(DISTINCT user_id) < 3 THEN 'none' WHEN count_if(channel = 'a') > 0 AND count_if(channel = 'r') > 0 THEN 'strong' ELSE 'weak' END AS level FROM b GROUP BY job_id""")
+SELECT job_id, count(*) FILTER (WHERE channel = 'a') AS silent, count(*) FILTER (WHERE channel = 'r') AS reports, count(DISTINCT user_id) AS contributors, CASE WHEN job_id % 10 = 0 THEN 'none' WHEN count(DISTINCT user_id) < 3 THEN 'none' WHEN count(*) FILTER (WHERE channel = 'a') > 0 AND count(*) FILTER (WHERE channel = 'r') > 0 THEN 'strong' ELSE 'weak' END AS level FROM b GROUP BY job_id""")
 def _(spark, sf):
     e = table(spark, sf, "events").withColumn("job_id", F.col("event_id") % 50)
     a = e.where("event_type = 'error'").select("job_id", "user_id", F.lit("silent").alias("state"))
@@ -189,7 +189,7 @@ def _(spark, sf):
     return table(spark, sf, "pages").select(evidence.liveness(status, F.col("url"), body).alias("state")).groupBy("state").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("stage_counts", "SELECT count_if(event_type IN ('view', 'click')) AS open, count_if(event_type = 'purchase') AS won, count_if(event_type IN ('error')) AS lost FROM events")
+@query("stage_counts", "SELECT count(*) FILTER (WHERE event_type IN ('view', 'click')) AS open, count(*) FILTER (WHERE event_type = 'purchase') AS won, count(*) FILTER (WHERE event_type IN ('error')) AS lost FROM events")
 def _(spark, sf):
     return evidence.stage_counts(table(spark, sf, "events"), "event_type", {"open": ["view", "click"], "won": ["purchase"], "lost": ["error"]})
 
@@ -253,7 +253,7 @@ def _(spark, sf):
     return mining.prune_demand(q, "n", "last", F.lit("2024-01-15").cast("timestamp")).select("q", "n")
 
 
-@query("promoted_domains", "SELECT l_suppkey, count_if(l_returnflag = 'R') AS hits, count_if(l_returnflag <> 'R') AS other FROM lineitem GROUP BY l_suppkey HAVING count_if(l_returnflag = 'R') >= 180 AND coalesce(count_if(l_returnflag <> 'R') / nullif(count(*), 0), 0) <= 0.67")
+@query("promoted_domains", "SELECT l_suppkey, count(*) FILTER (WHERE l_returnflag = 'R') AS hits, count(*) FILTER (WHERE l_returnflag <> 'R') AS other FROM lineitem GROUP BY l_suppkey HAVING count(*) FILTER (WHERE l_returnflag = 'R') >= 180 AND coalesce(count(*) FILTER (WHERE l_returnflag <> 'R') / nullif(count(*), 0), 0) <= 0.67")
 def _(spark, sf):
     c = table(spark, sf, "lineitem").groupBy("l_suppkey").agg(F.count_if(F.col("l_returnflag") == "R").alias("hits"), F.count_if(F.col("l_returnflag") != "R").alias("other"))
     return mining.promoted(c, "hits", "other", 180, 0.67)

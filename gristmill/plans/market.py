@@ -51,13 +51,13 @@ def _(spark, sf):
 
 
 @query("role_demand", f"""WITH {WITH_COUNTRY}, e AS (SELECT category, c_mktsegment, unnest(list_distinct(list_append(countries, ''))) AS country, posted, created, closed FROM pc)
-SELECT category, c_mktsegment, country AS countries, count_if({_open(NOW)}) AS open, count_if({_open(BEFORE)}) AS open_prev FROM e GROUP BY ALL HAVING open > 0 OR open_prev > 0""")
+SELECT category, c_mktsegment, country AS countries, count(*) FILTER (WHERE {_open(NOW)}) AS open, count(*) FILTER (WHERE {_open(BEFORE)}) AS open_prev FROM e GROUP BY ALL HAVING open > 0 OR open_prev > 0""")
 def _(spark, sf):
     return rollups.demand(with_country(spark, sf), ["category", "c_mktsegment"], "countries", _at(NOW), _at(BEFORE))
 
 
 @query("role_country", f"""WITH {WITH_COUNTRY}, e AS (SELECT category, unnest(list_distinct(list_append(countries, ''))) AS country, posted, created, closed FROM pc WHERE {CANON})
-SELECT category, country AS countries, count_if({_open(NOW)}) AS open, count_if({_open(BEFORE)}) AS open_prev FROM e GROUP BY ALL HAVING open > 0 OR open_prev > 0""")
+SELECT category, country AS countries, count(*) FILTER (WHERE {_open(NOW)}) AS open, count(*) FILTER (WHERE {_open(BEFORE)}) AS open_prev FROM e GROUP BY ALL HAVING open > 0 OR open_prev > 0""")
 def _(spark, sf):
     from gristmill.functions.predicates import canonical
 
@@ -133,9 +133,9 @@ def _(spark, sf):
 
 
 @query("role_pulse", f"""WITH {POSTINGS}, w AS (SELECT *, CAST(least(posted, created) AS DATE) AS x0, CAST(coalesce(closed, TIMESTAMP '{NOW}') AS DATE) AS x1 FROM p WHERE {CANON})
-SELECT category, CAST(sum(greatest(0, date_diff('day', greatest(x0, DATE '{NOW}' - 30), least(x1, DATE '{NOW}')))) AS BIGINT) AS exposure, count_if({REAL} AND closed >= TIMESTAMP '{NOW}' - INTERVAL 30 DAY AND closed < TIMESTAMP '{NOW}') AS closes,
+SELECT category, CAST(sum(greatest(0, date_diff('day', greatest(x0, DATE '{NOW}' - 30), least(x1, DATE '{NOW}')))) AS BIGINT) AS exposure, count(*) FILTER (WHERE {REAL} AND closed >= TIMESTAMP '{NOW}' - INTERVAL 30 DAY AND closed < TIMESTAMP '{NOW}') AS closes,
 median(CASE WHEN {REAL} AND closed >= TIMESTAMP '{NOW}' - INTERVAL 30 DAY AND closed < TIMESTAMP '{NOW}' THEN CAST(date_diff('day', x0, CAST(closed AS DATE)) AS DOUBLE) END) AS median_close_days,
-count_if(least(posted, created) >= TIMESTAMP '{NOW}' - INTERVAL 30 DAY AND least(posted, created) < TIMESTAMP '{NOW}') AS inflow FROM w GROUP BY category""")
+count(*) FILTER (WHERE least(posted, created) >= TIMESTAMP '{NOW}' - INTERVAL 30 DAY AND least(posted, created) < TIMESTAMP '{NOW}') AS inflow FROM w GROUP BY category""")
 def _(spark, sf):
     return rollups.pulse(postings(spark, sf), _at(NOW))
 
@@ -146,12 +146,12 @@ def _(spark, sf):
     return rollups.company_daily(postings(spark, sf)).withColumn("day", F.col("day").cast("string"))
 
 
-@query("company_growth", f"""WITH {POSTINGS} SELECT company, count_if({_open(NOW)}) AS open, count_if({_open(BEFORE)}) AS open_prev, count_if({_open(NOW)}) - count_if({_open(BEFORE)}) AS growth FROM p WHERE {CANON} GROUP BY company HAVING open > 0 OR open_prev > 0""")
+@query("company_growth", f"""WITH {POSTINGS} SELECT company, count(*) FILTER (WHERE {_open(NOW)}) AS open, count(*) FILTER (WHERE {_open(BEFORE)}) AS open_prev, count(*) FILTER (WHERE {_open(NOW)}) - count(*) FILTER (WHERE {_open(BEFORE)}) AS growth FROM p WHERE {CANON} GROUP BY company HAVING open > 0 OR open_prev > 0""")
 def _(spark, sf):
     return rollups.company_growth(postings(spark, sf), _at(NOW), _at(BEFORE))
 
 
-@query("company_growth_ranked", f"""WITH {POSTINGS}, g AS (SELECT company, count_if({_open(NOW)}) AS open, count_if({_open(BEFORE)}) AS open_prev FROM p WHERE {CANON} GROUP BY company)
+@query("company_growth_ranked", f"""WITH {POSTINGS}, g AS (SELECT company, count(*) FILTER (WHERE {_open(NOW)}) AS open, count(*) FILTER (WHERE {_open(BEFORE)}) AS open_prev FROM p WHERE {CANON} GROUP BY company)
 SELECT company, open, open_prev, open - open_prev AS growth FROM g WHERE greatest(open, open_prev) >= 5 ORDER BY growth DESC, company LIMIT 25""")
 def _(spark, sf):
     return rollups.ranked_growth(rollups.company_growth(postings(spark, sf), _at(NOW), _at(BEFORE)), "growth", 5, 25)
@@ -181,7 +181,7 @@ def _(spark, sf):
     return rollups.response(rows, "company", "days").withColumn("rate", F.round("rate", 6))
 
 
-@query("reply_benchmark", """WITH a AS (SELECT o_custkey % 300 AS who, o_orderstatus = 'F' AS ok FROM orders), o AS (SELECT who, count(*) AS n, count_if(ok) AS n_answered FROM a GROUP BY who), t AS (SELECT CAST(sum(n) AS BIGINT) AS an, CAST(sum(n_answered) AS BIGINT) AS aa FROM o)
+@query("reply_benchmark", """WITH a AS (SELECT o_custkey % 300 AS who, o_orderstatus = 'F' AS ok FROM orders), o AS (SELECT who, count(*) AS n, count(*) FILTER (WHERE ok) AS n_answered FROM a GROUP BY who), t AS (SELECT CAST(sum(n) AS BIGINT) AS an, CAST(sum(n_answered) AS BIGINT) AS aa FROM o)
 SELECT who, n, n_answered, an - n AS others, aa - n_answered AS others_answered, CASE WHEN n >= 10 AND an - n >= 10 THEN round(n_answered / n, 6) END AS rate, CASE WHEN n >= 10 AND an - n >= 10 THEN round((aa - n_answered) / (an - n), 6) END AS others_rate FROM o, t""")
 def _(spark, sf):
     rows = table(spark, sf, "orders").select((F.col("o_custkey") % 300).alias("who"), (F.col("o_orderstatus") == "F").alias("ok"))
@@ -189,7 +189,7 @@ def _(spark, sf):
     return out.withColumn("rate", F.round("rate", 6)).withColumn("others_rate", F.round("others_rate", 6))
 
 
-@query("source_quality", """SELECT source, count(*) AS n, count_if(lang IS NULL OR lang = '') AS no_lang, count_if(trim(text) = '') AS no_body, count_if(n_chars < 200) AS short, count_if(doc_id % 30 > 23) AS unseen, min(doc_id) AS sample FROM documents GROUP BY source""")
+@query("source_quality", """SELECT source, count(*) AS n, count(*) FILTER (WHERE lang IS NULL OR lang = '') AS no_lang, count(*) FILTER (WHERE trim(text) = '') AS no_body, count(*) FILTER (WHERE n_chars < 200) AS short, count(*) FILTER (WHERE doc_id % 30 > 23) AS unseen, min(doc_id) AS sample FROM documents GROUP BY source""")
 def _(spark, sf):
     c = {"no_lang": F.col("lang").isNull() | (F.col("lang") == ""), "no_body": F.trim("text") == "", "short": F.col("n_chars") < 200, "unseen": F.col("doc_id") % 30 > 23}
     return rollups.quality_gaps(table(spark, sf, "documents"), c, "source", "doc_id")
@@ -235,7 +235,7 @@ def _(spark, sf):
 
 
 @query("cohort_conversion", """WITH s AS (SELECT o_custkey AS who, min(o_orderdate) AS sent FROM orders GROUP BY 1), c AS (SELECT s.*, exists(SELECT 1 FROM orders o WHERE o.o_custkey = who AND o.o_orderdate > sent AND o.o_orderdate <= sent + INTERVAL 90 DAY AND o.o_orderstatus = 'F') AS paid FROM s)
-SELECT CAST(CAST(date_trunc('month', sent) AS DATE) AS VARCHAR) AS month, count(*) AS sent_n, count_if(sent + INTERVAL 90 DAY <= TIMESTAMP '1996-01-01') AS matured, count_if(paid AND sent + INTERVAL 90 DAY <= TIMESTAMP '1996-01-01') AS paid_n FROM c GROUP BY 1""")
+SELECT CAST(CAST(date_trunc('month', sent) AS DATE) AS VARCHAR) AS month, count(*) AS sent_n, count(*) FILTER (WHERE sent + INTERVAL 90 DAY <= TIMESTAMP '1996-01-01') AS matured, count(*) FILTER (WHERE paid AND sent + INTERVAL 90 DAY <= TIMESTAMP '1996-01-01') AS paid_n FROM c GROUP BY 1""")
 def _(spark, sf):
     o = table(spark, sf, "orders").select(F.col("o_custkey").alias("who"), "o_orderdate", "o_orderstatus")
     return joins.cohort(o, "who", "o_orderdate", F.col("o_orderstatus") == "F", 90, F.lit("1996-01-01").cast("timestamp"))
@@ -259,7 +259,7 @@ def _(spark, sf):
     return rows.groupBy("o_custkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", "o_orderpriority"))), lambda x: x["o_orderpriority"]), ",").alias("p"))
 
 
-@query("role_clusters", f"""WITH {POSTINGS}, c AS (SELECT *, CASE WHEN id % 9 = 0 THEN '' ELSE category || status END AS fp FROM p) SELECT company, fp, count(*) AS reposts, count_if(closed IS NULL) AS mass FROM c WHERE fp <> '' GROUP BY ALL HAVING count(*) > 1""")
+@query("role_clusters", f"""WITH {POSTINGS}, c AS (SELECT *, CASE WHEN id % 9 = 0 THEN '' ELSE category || status END AS fp FROM p) SELECT company, fp, count(*) AS reposts, count(*) FILTER (WHERE closed IS NULL) AS mass FROM c WHERE fp <> '' GROUP BY ALL HAVING count(*) > 1""")
 def _(spark, sf):
     rows = postings(spark, sf).withColumn("fp", F.when(F.col("id") % 9 == 0, F.lit("")).otherwise(F.concat("category", "status")))
     return rollups.clusters(rows, "company", "fp")

@@ -221,7 +221,7 @@ def _(spark, sf):
     return queues.matched_searches(table(spark, sf, "orders"), {"big": big, "urgent": urgent, "both": big & urgent}).groupBy("search").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("queue_progress", "SELECT event_type, greatest(0, least(count_if(event_id % 3 = 0), 500)) AS covered, round(count(*) / 12.0 * 60, 6) AS eta_seconds FROM events GROUP BY event_type")
+@query("queue_progress", "SELECT event_type, greatest(0, least(count(*) FILTER (WHERE event_id % 3 = 0), 500)) AS covered, round(count(*) / 12.0 * 60, 6) AS eta_seconds FROM events GROUP BY event_type")
 def _(spark, sf):
     from gristmill.operators.match import progress
 
