@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gristmill.functions.text import jaccard, role_text, signature, strip_clause
+from gristmill.functions.text import role_text, signature, strip_clause
+from gristmill.session import scratch_dir
 
 
 def role_collapse(df: DataFrame, company: str, fingerprint: str, key: str = "id", closed: str = "closed") -> DataFrame:
@@ -124,11 +125,7 @@ def clusters(pairs: DataFrame, rounds: int = 30) -> DataFrame:
     Labels spread by grouped minima with pointer jumping; each round is cut by a
     checkpoint, and only a count reaches the driver.
     """
-    spark = pairs.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="gristmill-"))
+    scratch_dir(pairs.sparkSession)
     edges = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
     labels = edges.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("l")).select(F.col("a").alias("id"), F.col("l").alias("cluster")).checkpoint()
     for _ in range(rounds):

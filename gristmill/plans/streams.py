@@ -12,19 +12,14 @@ from pyspark.sql import functions as F
 
 from gristmill.operators import intervals, sampling
 from gristmill.plans.registry import query
+from gristmill.session import scratch_dir
 from gristmill.sources import logs
 from gristmill.sources.tables import table
 from gristmill.streaming import queues
 
 
 def _scratch(spark) -> str:
-    """A folder in the shared checkpoint folder; its own only where the session names none."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        import tempfile
-
-        base = "file://" + tempfile.mkdtemp(prefix="gristmill-")
-    return f"{base.rstrip('/')}/streams/{uuid.uuid4().hex}"
+    return f"{scratch_dir(spark)}/streams/{uuid.uuid4().hex}"
 
 
 #: Access lines made from events.

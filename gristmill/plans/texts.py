@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from gristmill.functions import arrow
 from gristmill.functions import text as tx
 from gristmill.plans.registry import query
+from gristmill.session import ship
 from gristmill.sources import logs
 from gristmill.sources.tables import table
 
@@ -84,24 +85,28 @@ def _(spark, sf):
 
 @query("text_entities", "SELECT page_id, 'a<b ' || chr(233) || ' & ' || chr(8364) || page_id AS t, 'Strasse cafe' AS ascii FROM pages")
 def _(spark, sf):
+    ship(spark)
     raw = F.concat(F.lit("a&lt;b &#233; &amp; &#x20AC;"), F.col("page_id").cast("string"))
     return table(spark, sf, "pages").select("page_id", arrow.entities(raw).alias("t"), arrow.transliterated(F.concat(F.lit("Straße café"), F.substring("url", 1, 0))).alias("ascii"))
 
 
 @query("text_chunks")
 def _(spark, sf):
+    ship(spark)
     c = table(spark, sf, "documents").select("doc_id", F.posexplode(arrow.chunks(F.col("text"), 2000)).alias("chunk", "piece"))
     return c.select("doc_id", "chunk", F.length("piece").alias("n_chars"), F.md5(F.col("piece").cast("binary")).alias("md5"))
 
 
 @query("text_language")
 def _(spark, sf):
+    ship(spark)
     d = table(spark, sf, "documents").select("lang", arrow.language(F.col("text")).alias("guess"))
     return d.groupBy("lang", "guess").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("text_optional_masked", "SELECT doc_id, 'Must:' || chr(10) || 'SQL' AS kept, CAST(39 AS BIGINT) AS n FROM documents")
 def _(spark, sf):
+    ship(spark)
     t = F.concat(F.lit("Must:\nSQL\nNice to have\nScala\nBenefits:\n"), F.substring("text", 1, 0))
     m = arrow.without_optional(t)
     return table(spark, sf, "documents").select("doc_id", F.trim(F.regexp_replace(F.regexp_replace(m, r"Benefits:\n", ""), r"\s+$", "")).alias("kept"), F.length(m).cast("long").alias("n"))
