@@ -3,43 +3,13 @@
 from __future__ import annotations
 
 import functools
-import io
-import os
-import tempfile
 import uuid
-import zipfile
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_LOCAL: dict[str, str] = {}
-_SHIPPED: dict[str, str] = {}
-
-
-def ship(spark: SparkSession) -> None:
-    """Send this package's source to the executors, once a session, so that they need no installation of it.
-
-    The archive lies in the shared folder, where a new executor finds it too.
-    """
-    sc = spark.sparkContext
-    top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    if _SHIPPED.get("app") == sc.applicationId or not os.path.isdir(top):
-        return
-    packed = io.BytesIO()
-    with zipfile.ZipFile(packed, "w") as z:
-        for at, _, files in os.walk(top):
-            for f in sorted(files):
-                if f.endswith(".py"):
-                    full = os.path.join(at, f)
-                    z.write(full, os.path.relpath(full, os.path.dirname(top)))
-    target = f"{scratch_dir(spark)}/gristmill/src-{uuid.uuid4().hex}.zip"
-    path = sc._jvm.org.apache.hadoop.fs.Path(target)
-    out = path.getFileSystem(sc._jsc.hadoopConfiguration()).create(path)
-    out.write(bytearray(packed.getvalue()))
-    out.close()
-    sc.addPyFile(target)
-    _SHIPPED["app"] = sc.applicationId
+from gristmill.session import scratch_dir, ship
 
 
 def shipped(query: Callable) -> Callable:
@@ -53,22 +23,6 @@ def shipped(query: Callable) -> Callable:
     return run
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables: spark.checkpoint.dir.
-
-    Only where the session names none (tests on one machine) a folder of its
-    own is made, and set as the checkpoint folder too.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _LOCAL:
-        _LOCAL[app] = "file://" + tempfile.mkdtemp(prefix="gristmill-")
-        spark.sparkContext.setCheckpointDir(_LOCAL[app])
-    return _LOCAL[app]
-
-
 def cut(df: DataFrame, label: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back.
 
