@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 #: Entries of a worker's table of encoded words, and of tested arcs; either is emptied when full.
-WORDS, ARCS = 600_000, 600_000
+WORDS, ARCS = 150_000, 150_000
 NEVER = 1 << 40
 
 
@@ -67,17 +67,12 @@ class Automaton:
     def __init__(self, vocabulary: dict):
         self.labels: list[bytes] = vocabulary["labels"]
         self.special: dict[str, int] = vocabulary["special"]
-        n = len(self.labels)
         made: dict[int, tuple[int, int, int]] = {}
         self.gadgets: dict[int, dict[int, int]] = {}
         for rank, (x, y, z) in enumerate(vocabulary["merges"]):
             self.gadgets.setdefault(x, {}).setdefault(y, rank)
             made.setdefault(z, (x, y, rank))
-        # Edges of each token with the rank at which the piece is merged away inside it.
-        self.right: list[tuple] = [()] * n
-        self.left: list[tuple] = [()] * n
-        for t in range(n):
-            self.right[t], self.left[t] = self._edge(t, made, 1), self._edge(t, made, 0)
+        self.made = made
         # Byte trie of the labels that the merges can make: single bytes and merge results.
         self.next: dict[int, int] = {}
         self.label_at: list[int] = [-1]
@@ -95,24 +90,25 @@ class Automaton:
             self.label_at[node] = t
         self.arcs: dict[int, bool] = {}
 
-    @staticmethod
-    def _edge(t: int, made: dict, side: int) -> tuple:
-        pieces, end = [(t, NEVER)], NEVER
-        while t in made:
-            end, t = made[t][2], made[t][side]
-            pieces.append((t, end))
-        return tuple(pieces)
+    def _edge(self, t: int, side: int) -> list[tuple[int, int]]:
+        """Pieces on the right (1) or left (0) edge of token t, each with the rank at which it is merged away inside t."""
+        pieces = [(t, NEVER)]
+        while t in self.made:
+            x = self.made[t]
+            t = x[side]
+            pieces.append((t, x[2]))
+        return pieces
 
     def arc(self, p: int, t: int) -> bool:
         """Whether the state of token p has an arc labelled t."""
         key = p << 20 | t
         known = self.arcs.get(key)
         if known is None:
-            known = True
-            for x, x_end in self.right[p]:
+            known, left = True, self._edge(t, 0)
+            for x, x_end in self._edge(p, 1):
                 row = self.gadgets.get(x)
                 if row:
-                    for y, y_end in self.left[t]:
+                    for y, y_end in left:
                         k = row.get(y)
                         if k is not None and k < x_end and k <= y_end:
                             known = False
@@ -192,6 +188,11 @@ class Codec:
                 out.extend(map(self.words.__getitem__, self.split(piece)))
         return b"".join(out)
 
+    def release(self) -> None:
+        """Empty the tables of encoded words and tested arcs."""
+        self.words.clear()
+        self.automaton.arcs.clear()
+
     def decode(self, ids: bytes) -> str:
         labels = self.automaton.labels
         return b"".join([labels[i] for i in memoryview(ids).cast("I")]).decode("utf-8", "replace")
@@ -216,6 +217,12 @@ def _mapped(df: DataFrame, key: str, vocabulary, source: str, fields: list[T.Str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(key, vocabulary)
+        try:
+            yield from made(codec, batches)
+        finally:
+            codec.release()  # an idle worker keeps the compiled tables alone
+
+    def made(codec: Codec, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             # Slices of bounded text size, so that a batch of very long texts stays small in memory.
             sizes, start, n = pc.fill_null(pc.binary_length(batch.column(at)), 0).to_pylist(), 0, batch.num_rows

@@ -41,7 +41,7 @@ CELL_CHARS = 4_000_000
 #: wanted similarity: 5.3 standard deviations of 200 coordinates, which a similar pair misses 6e-8 of the times.
 SLACK = 0.15
 #: Words with remembered hashes in a worker; the table is emptied when full.
-CACHE = 500_000
+CACHE = 150_000
 #: Shingles whose coordinates are worked out together.
 CHUNK = 1 << 15
 
@@ -338,7 +338,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         join_up(confirmed(_likely(_cells(rest, classes), False, least), texts, size, percent))
         discard(rest)
         rest = unresolved()
-        families = components(_likely(_cells(rest, classes), True, least))
+        families = components(cut(_likely(_cells(rest, classes), True, least), "likely"))
         members = families.select(F.col("v").alias("family"), F.col("u").alias("c")).unionByName(families.select(F.col("v").alias("family"), F.col("v").alias("c")).distinct())
         comp = rest.select("c", "comp").distinct()
         join_up(_family_links(members.join(comp, "c"), texts, size, percent))

@@ -30,6 +30,8 @@ SAMPLE = 20_000
 #: Lengths of word beginnings, candidates for the lexicon, and its final size at most.
 SHORTEST, LONGEST, CANDIDATES, TERMS, EXCEPTIONS = 3, 10, 4000, 600, 2000
 #: A term needs this log odds; it must newly explain this share of toxic rows, and this many.
+#: Terms that a worker counts before it hands the counts on.
+HELD = 250_000
 MIN_ODDS, MIN_SHARE, MIN_ROWS = 2.0, 0.004, 3
 
 #: Letters of other scripts that look like Latin ones.
@@ -114,11 +116,19 @@ def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         toxic: Counter = Counter()
         clean: Counter = Counter()
-        for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            words = set(fold(text).split())
-            (toxic if label else clean).update({w[:n] for w in words for n in range(SHORTEST, min(len(w), LONGEST) + 1)})
-        terms = list(toxic | clean)
-        yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array([toxic[t] for t in terms], pa.int64()), pa.array([clean[t] for t in terms], pa.int64())], names=["term", "t", "c"])
+        for text, label in zip(batch.column(0), batch.column(1), strict=True):
+            words = set(fold(text.as_py()).split())
+            (toxic if label.as_py() else clean).update({w[:n] for w in words for n in range(SHORTEST, min(len(w), LONGEST) + 1)})
+            if len(toxic) + len(clean) > HELD:
+                yield _counts(toxic, clean)
+                toxic.clear()
+                clean.clear()
+        yield _counts(toxic, clean)
+
+
+def _counts(toxic: Counter, clean: Counter) -> pa.RecordBatch:
+    terms = list({**toxic, **clean})
+    return pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array([toxic[t] for t in terms], pa.int64()), pa.array([clean[t] for t in terms], pa.int64())], names=["term", "t", "c"])
 
 
 def learn(rows: DataFrame, seed: int = 0) -> Lexicon:
