@@ -13,39 +13,41 @@ from pyspark.sql import functions as F
 from gristmill.llm.common import cut, discard
 
 
-def _star(both: DataFrame, large: bool) -> DataFrame:
-    """One star step over directed edges (u, v)."""
-    if large:
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        out = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    else:
-        down = both.where("v < u")
-        least = down.groupBy("u").agg(F.min("v").alias("m"))
-        out = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+def _large_star(edges: DataFrame) -> DataFrame:
+    """Every vertex's larger neighbours are linked to the least of itself and its neighbours; the result has v < u."""
+    both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+
+
+def _small_star(edges: DataFrame) -> DataFrame:
+    """Every vertex and its smaller neighbours are linked to the least of those; edges must have v < u."""
+    least = edges.groupBy("u").agg(F.min("v").alias("m"))
+    out = edges.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
     return out.where("u <> v").distinct()
 
 
-def _both(edges: DataFrame) -> DataFrame:
-    return edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+def _settled(stars: DataFrame) -> bool:
+    """Whether the edges (u, v), v < u, are a forest of stars: every u has one v, and no v is a u itself."""
+    ends = stars.select(F.col("u").alias("k"), F.lit(1).alias("as_u"), F.lit(0).alias("as_v")).unionByName(stars.select(F.col("v").alias("k"), F.lit(0).alias("as_u"), F.lit(1).alias("as_v")))
+    roles = ends.groupBy("k").agg(F.sum("as_u").alias("us"), F.max("as_v").alias("v"))
+    return not roles.where("us > 1 or (us = 1 and v = 1)").limit(1).count()
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
     """u, v: every vertex of the edge table except the least of its component, with that least vertex.
 
     Self-loops, duplicate edges and nulls make no difference.  Each round
-    halves the depth of the stars; the table is written to the shared folder
-    once a round, so a lost executor never restarts the loop.
+    shortens the chains of stars; its table is written to the shared folder, so
+    a lost executor never restarts the loop.  The edges are read several times:
+    they should be a written table.
     """
-    rows = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null and u <> v").distinct()
-    now, before = cut(rows, "edges"), None
+    now = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null and u <> v")
     for _ in range(rounds):
-        grown = cut(_star(_star(_both(now), True).transform(_both), False), "edges")
-        state = grown.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        large = cut(_large_star(now), "edges")
         discard(now)
-        now = grown
-        if state == before:
-            break
-        before = state
-    else:
-        raise RuntimeError("components did not converge")
-    return now
+        now = cut(_small_star(large), "edges")
+        discard(large)
+        if _settled(now):
+            return now
+    raise RuntimeError("components did not converge")

@@ -82,7 +82,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text:
     items = cut(items.select(F.xxhash64("item_id", "h").alias("iid"), "item_id", "h", "set", "print", F.size("h").alias("m")).dropDuplicates(["iid"]), "items")
     # Of a shingle that an item repeats, the first place serves.
     index = items.select("iid", "m", F.posexplode_outer("h").alias("at", "h")).groupBy("iid", "m", "h").agg(F.min("at").alias("at"))
-    if items.agg(F.sum("m")).first()[0] is None or items.agg(F.sum("m")).first()[0] <= INDEX_ROWS:
+    if (items.agg(F.sum("m")).first()[0] or 0) <= INDEX_ROWS:
         index = F.broadcast(index)
     rows = spread(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))).where("doc_id is not null").withColumn("rid", F.struct(F.xxhash64("doc_id", "text").alias("a"), F.xxhash64("text", F.lit(1)).alias("b")))
     worded = rows.select("rid", "doc_id", words("text").alias("w"))
