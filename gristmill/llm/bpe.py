@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 #: Entries of a worker's table of encoded words, and of tested arcs; either is emptied when full.
-WORDS, ARCS = 150_000, 150_000
+WORDS, ARCS = 500_000, 400_000
 NEVER = 1 << 40
 
 
@@ -73,6 +73,7 @@ class Automaton:
             self.gadgets.setdefault(x, {}).setdefault(y, rank)
             made.setdefault(z, (x, y, rank))
         self.made = made
+        self.edges: dict[int, list[tuple[int, int]]] = {}
         # Byte trie of the labels that the merges can make: single bytes and merge results.
         self.next: dict[int, int] = {}
         self.label_at: list[int] = [-1]
@@ -92,11 +93,15 @@ class Automaton:
 
     def _edge(self, t: int, side: int) -> list[tuple[int, int]]:
         """Pieces on the right (1) or left (0) edge of token t, each with the rank at which it is merged away inside t."""
-        pieces = [(t, NEVER)]
-        while t in self.made:
-            x = self.made[t]
-            t = x[side]
-            pieces.append((t, x[2]))
+        key = t << 1 | side
+        pieces = self.edges.get(key)
+        if pieces is None:
+            pieces = [(t, NEVER)]
+            while t in self.made:
+                x = self.made[t]
+                t = x[side]
+                pieces.append((t, x[2]))
+            self.edges[key] = pieces
         return pieces
 
     def arc(self, p: int, t: int) -> bool:
@@ -188,11 +193,6 @@ class Codec:
                 out.extend(map(self.words.__getitem__, self.split(piece)))
         return b"".join(out)
 
-    def release(self) -> None:
-        """Empty the tables of encoded words and tested arcs."""
-        self.words.clear()
-        self.automaton.arcs.clear()
-
     def decode(self, ids: bytes) -> str:
         labels = self.automaton.labels
         return b"".join([labels[i] for i in memoryview(ids).cast("I")]).decode("utf-8", "replace")
@@ -217,12 +217,6 @@ def _mapped(df: DataFrame, key: str, vocabulary, source: str, fields: list[T.Str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(key, vocabulary)
-        try:
-            yield from made(codec, batches)
-        finally:
-            codec.release()  # an idle worker keeps the compiled tables alone
-
-    def made(codec: Codec, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             # Slices of bounded text size, so that a batch of very long texts stays small in memory.
             sizes, start, n = pc.fill_null(pc.binary_length(batch.column(at)), 0).to_pylist(), 0, batch.num_rows
