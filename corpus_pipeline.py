@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gristmill.llm import bpe, decontam, minhash, pii, toxicity
-from gristmill.llm.common import cut, ship, spread
+from gristmill.llm.common import cut, prepare, spread
 from gristmill.llm.queries import vocabulary
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -19,7 +19,7 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose text scores below 0.5; null and empty texts stay.  The lexicon is learned from table labels."""
-    ship(spark)
+    prepare(spark)
     lexicon = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.score(spread(docs.select(*COLUMNS)), lexicon, out="_toxic").where(F.col("_toxic") < 0.5).select(*COLUMNS)
 
@@ -30,7 +30,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Texts without words are in no group and stay; rows that repeat a doc_id are
     one document; rows without one stay.
     """
-    ship(spark)
+    prepare(spark)
     docs = docs.select(*COLUMNS)
     gone = cut(minhash.near_duplicates(docs).where("not kept and doc_id is not null").select("doc_id"), "gone")
     kept = docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
@@ -39,21 +39,21 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that hold no item of table benchmark; rows without doc_id stay."""
-    ship(spark)
+    prepare(spark)
     docs = docs.select(*COLUMNS)
     return decontam.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(*COLUMNS)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All rows, personal data replaced by its kind in brackets; n_chars counts the new text."""
-    ship(spark)
+    prepare(spark)
     docs = docs.select(*COLUMNS)
     return pii.masked(docs, pii.spans(docs)).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_tokens, ids (little-endian unsigned 32-bit integers) and digests of ids and decoded text."""
-    ship(spark)
+    prepare(spark)
     out = bpe.round_trip(spread(docs.select("doc_id", "lang", "source", "text")), vocabulary())
     return out.select(
         "doc_id", "lang", "source", "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256")

@@ -12,12 +12,24 @@ from pyspark.sql import functions as F
 from gristmill.session import scratch_dir, ship
 
 
+#: Rows of an Arrow batch: texts can be long, and a batch is held by the JVM and by the worker.
+BATCH_ROWS = 1000
+
+
+def prepare(spark: SparkSession) -> None:
+    """Send the package to the executors, and bound Arrow batches unless the session sets another size than Spark's own."""
+    ship(spark)
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, BATCH_ROWS)
+
+
 def shipped(query: Callable) -> Callable:
-    """A query that ships the package first; its first argument is the session."""
+    """A query that prepares the session first, its first argument."""
 
     @functools.wraps(query)
     def run(spark: SparkSession, *args):
-        ship(spark)
+        prepare(spark)
         return query(spark, *args)
 
     return run
