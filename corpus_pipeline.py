@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gristmill.llm import bpe, decontam, minhash, pii, toxicity
-from gristmill.llm.common import cut, prepare, spread
+from gristmill.llm.common import cut, prepare, row_id, spread
 from gristmill.llm.queries import vocabulary
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -25,20 +25,28 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of each group of near duplicates.
+    """The row of smallest id of each group of near duplicates.
 
-    Texts without words are in no group and stay; rows that repeat a doc_id are
-    one document; rows without one stay.
+    Texts without words are in no group and stay; equal rows are one, and rows
+    that repeat a doc_id with another text are compared by their own text; rows
+    without a doc_id stay.
     """
     prepare(spark)
     docs = docs.select(*COLUMNS)
-    gone = cut(minhash.near_duplicates(docs).where("not kept and doc_id is not null").select("doc_id"), "gone")
-    kept = docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
-    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
+    rows = docs.where("doc_id is not null").withColumn("_rid", row_id())
+    groups = minhash.near_duplicates(rows.select(F.col("_rid.a").alias("row"), "text"), "row")
+    ids = cut(rows.select(F.col("_rid.a").alias("row"), "doc_id", "_rid").groupBy("row", "doc_id", "_rid").agg(F.count(F.lit(1)).alias("n")), "ids")
+    first = groups.select(F.col("doc_id").alias("row"), "component_id").distinct().join(ids, "row").groupBy("component_id").agg(F.min(F.struct("doc_id", "_rid")).alias("f"))
+    gone = cut(ids.join(first.select("f._rid"), "_rid", "left_anti").select("_rid"), "gone")
+    # Only equal rows are brought together: the others' texts need not move.
+    again = cut(ids.where("n > 1").select("_rid"), "again")
+    left = rows.join(gone, "_rid", "left_anti")
+    kept = left.join(again, "_rid", "left_anti").select(*COLUMNS).unionByName(left.join(again, "_rid", "left_semi").dropDuplicates(["_rid"]).select(*COLUMNS))
+    return kept.unionByName(docs.where("doc_id is null"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that hold no item of table benchmark; rows without doc_id stay."""
+    """Rows whose text holds no item of table benchmark."""
     prepare(spark)
     docs = docs.select(*COLUMNS)
     return decontam.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(*COLUMNS)

@@ -66,6 +66,11 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+def row_id(doc_id: str = "doc_id", text: str = "text") -> Column:
+    """128 bits that tell a row by its id, null too, and its text."""
+    return F.struct(F.xxhash64(F.col(doc_id).isNull(), doc_id, text).alias("a"), F.xxhash64(text, F.lit(1)).alias("b"))
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """df unchanged if it has a partition for each core at least, else dealt over the cores."""
     cores = df.sparkSession.sparkContext.defaultParallelism

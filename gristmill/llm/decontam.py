@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import cut, discard, spread
+from gristmill.llm.common import cut, discard, row_id, spread
 
 #: Words of a shingle; similarity in percent; bits that fingerprints may differ in: at a similarity of 0.8 they
 #: differ in 9.7 of 64 bits on average, and in more than 24 with a probability of about 3e-6.
@@ -68,14 +68,8 @@ def blocks(bits: int = 64, n: int = RADIUS + 1) -> list[int]:
     return [m - (1 << 64) if m >> 63 else m for m in masks]
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", percent: int = PERCENT) -> DataFrame:
-    """doc_id, item_id, start (word), n_words, shared and total (weights of intersection and union): each document's best window of each item it holds.
-
-    Best: the largest similarity, then the first window.  Items and documents of
-    fewer than five words (null and empty texts too) have no shingles and match
-    nothing; rows without an id take no part.  Rows that repeat an id count as
-    further texts of it.
-    """
+def _held(docs: DataFrame, benchmark: DataFrame, doc_id: str, text: str, item_id: str, item_text: str, percent: int) -> DataFrame:
+    """rid, doc_id, item_id, first, len, shared, total of every window, of any row, that holds an item."""
     items = benchmark.where(F.col(item_id).isNotNull()).select(F.col(item_id).alias("item_id"), words(item_text).alias("w"))
     items = items.withColumn("h", shingles("w")).withColumn("wt", weights("w")).where(F.size("h") > 0)
     items = items.withColumn("set", weighted(F.col("h"), F.col("wt"))).withColumn("print", simhash("set"))
@@ -84,7 +78,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text:
     index = items.select("iid", "m", F.posexplode_outer("h").alias("at", "h")).groupBy("iid", "m", "h").agg(F.min("at").alias("at"))
     if (items.agg(F.sum("m")).first()[0] or 0) <= INDEX_ROWS:
         index = F.broadcast(index)
-    rows = spread(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))).where("doc_id is not null").withColumn("rid", F.struct(F.xxhash64("doc_id", "text").alias("a"), F.xxhash64("text", F.lit(1)).alias("b")))
+    rows = spread(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))).withColumn("rid", row_id())
     worded = rows.select("rid", "doc_id", words("text").alias("w"))
     # Outer: else the planner adds a filter on the array's size, with the making of the words inlined for each element.
     places = worded.select("rid", "doc_id", shingles("w").alias("h")).select("rid", "doc_id", F.posexplode_outer("h").alias("pos", "h"))
@@ -98,7 +92,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text:
     length = F.least(F.col("start") + F.col("m"), F.size("h")) - first
     cutout = per.withColumn("first", first).withColumn("len", length)
     part = lambda c: F.slice(c, F.col("first") + 1, F.col("len"))
-    own = cutout.select("doc_id", "item_id", "iid", "first", "len", "print", "set", weighted(part("h"), part("wt")).alias("win"))
+    own = cutout.select("rid", "doc_id", "item_id", "iid", "first", "len", "print", "set", weighted(part("h"), part("wt")).alias("win"))
     apart = own.withColumn("own_print", simhash("win")).withColumn("x", F.col("print").bitwiseXOR(F.col("own_print")))
     block = F.lit(False)
     for mask in blocks():
@@ -106,8 +100,19 @@ def matches(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text:
     near = apart.where(block & (F.bit_count("x") <= RADIUS))
     weight = lambda c: F.aggregate(c, F.lit(0).cast("bigint"), lambda acc, s: acc + s["w"])
     shared = weight(F.array_intersect("set", "win"))
-    decided = near.select("doc_id", "item_id", "first", "len", shared.alias("shared"), (weight(F.col("set")) + weight(F.col("win"))).alias("both"))
-    decided = decided.withColumn("total", F.col("both") - F.col("shared")).where(F.col("shared") * 100 >= F.col("total") * percent)
+    decided = near.select("rid", "doc_id", "item_id", "first", "len", shared.alias("shared"), (weight(F.col("set")) + weight(F.col("win"))).alias("both"))
+    return decided.withColumn("total", F.col("both") - F.col("shared")).where(F.col("shared") * 100 >= F.col("total") * percent)
+
+
+def matches(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", percent: int = PERCENT) -> DataFrame:
+    """doc_id, item_id, start (word), n_words, shared and total (weights of intersection and union): each document's best window of each item it holds.
+
+    Best: the largest similarity, then the first window.  Items and documents of
+    fewer than five words (null and empty texts too) have no shingles and match
+    nothing; rows without an id take no part.  Rows that repeat an id count as
+    further texts of it.
+    """
+    decided = _held(docs.where(F.col(doc_id).isNotNull()), benchmark, doc_id, text, item_id, item_text, percent)
     best = decided.groupBy("doc_id", "item_id").agg(F.max(F.struct((F.col("shared") / F.col("total")).alias("s"), (-F.col("first")).alias("f"), "len", "shared", "total")).alias("b"))
     return best.select(
         "doc_id", "item_id", (-F.col("b.f")).cast("long").alias("start"), (F.col("b.len") + (WORDS - 1)).cast("long").alias("n_words"),
@@ -115,10 +120,10 @@ def matches(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text:
     )
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """docs without the documents that hold a benchmark item."""
-    found = matches(docs, benchmark, **options).select("doc_id").distinct()
-    return docs.join(found.withColumnRenamed("doc_id", options.get("doc_id", "doc_id")), options.get("doc_id", "doc_id"), "left_anti")
+def clean(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", percent: int = PERCENT) -> DataFrame:
+    """docs without the rows whose own text holds a benchmark item, whether their id is null or repeated."""
+    found = _held(docs, benchmark, doc_id, text, item_id, item_text, percent).select(F.col("rid").alias("_rid")).distinct()
+    return docs.withColumn("_rid", row_id(doc_id, text)).join(found, "_rid", "left_anti").select(*docs.columns)
 
 
 #: All windows that share a shingle with an item, compared exactly.

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import cut, discard, spread
+from gristmill.llm.common import cut, discard, row_id, spread
 
 #: The kinds in listed order, with their patterns.  The guards in
 #: front keep the scan linear: a match can only begin where a run of its first
@@ -128,12 +128,12 @@ def grown_spans(docs: DataFrame, base: DataFrame, trust: float = TRUST, support:
 
 
 def spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """For every row: doc_id, n_email, n_ip, n_card, n_phone, base (spans of the rules), spans (all), as kind:start:end joined by commas.
+    """For every row: doc_id, n_email, n_ip, n_card, n_phone, base (spans of the rules), spans (all), as kind:start:end joined by commas, and rid, by which masked() finds it.
 
     Places are in code points, end exclusive, by start and then kind as listed.
     Null and empty texts have no spans.  Repeated rows are rows of their own.
     """
-    rows = spread(docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))).withColumn("rid", F.struct(F.xxhash64("doc_id", "text").alias("a"), F.xxhash64("text", F.lit(1)).alias("b")))
+    rows = spread(docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))).withColumn("rid", row_id())
     order = F.array_position(F.array(*(F.lit(k) for k in KINDS)), F.col("kind"))
     base = cut(base_spans(rows), "spans")
     grown = grown_spans(rows, base)
@@ -144,13 +144,16 @@ def spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     )
     show = lambda s: F.array_join(F.transform(s, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
     per = per.withColumn("base", show(F.filter("s", lambda x: x["rule"]))).withColumn("spans", show(F.col("s"))).drop("s")
-    out = rows.select("rid", "doc_id").join(per, "rid", "left").drop("rid")
-    return out.select("doc_id", *(F.coalesce(F.col(f"n_{k}"), F.lit(0)).cast("long").alias(f"n_{k}") for k in KINDS), F.coalesce("base", F.lit("")).alias("base"), F.coalesce("spans", F.lit("")).alias("spans"))
+    out = rows.select("rid", "doc_id").join(per, "rid", "left")
+    return out.select("doc_id", *(F.coalesce(F.col(f"n_{k}"), F.lit(0)).cast("long").alias(f"n_{k}") for k in KINDS), F.coalesce("base", F.lit("")).alias("base"), F.coalesce("spans", F.lit("")).alias("spans"), "rid")
 
 
 def masked(docs: DataFrame, found: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """docs with every span of `found` (doc_id, spans) replaced by its kind in brackets; where spans overlap, the earlier one counts."""
-    parts = F.transform(F.filter(F.split("spans", ","), lambda s: s != ""), lambda s: F.split(s, ":"))
+    """docs with every span of `found` (rid, spans: by spans() of the same rows) replaced by its kind in brackets; where spans overlap, the earlier one counts.
+
+    Every row is masked by its own text's spans, whether its id is null or repeated.
+    """
+    parts = F.transform(F.filter(F.split("_spans", ","), lambda s: s != ""), lambda s: F.split(s, ":"))
     cleared = F.aggregate(
         parts,
         F.struct(F.lit("").alias("out"), F.lit(0).alias("at")),
@@ -160,8 +163,9 @@ def masked(docs: DataFrame, found: DataFrame, text: str = "text", doc_id: str =
         ).otherwise(acc),
         lambda acc: F.concat(acc["out"], F.substring(F.col(text), acc["at"] + 1, F.length(text))),
     )
-    some = found.where("spans <> ''").select(doc_id, "spans").dropDuplicates([doc_id])
-    return docs.join(some, doc_id, "left").withColumn(text, F.when(F.col("spans").isNotNull(), cleared).otherwise(F.col(text))).drop("spans")
+    some = found.where("spans <> ''").select(F.col("rid").alias("_rid"), F.col("spans").alias("_spans")).dropDuplicates(["_rid"])
+    keyed = docs.withColumn("_text", F.coalesce(F.col(text), F.lit(""))).withColumn("_rid", row_id(doc_id, "_text")).drop("_text")
+    return keyed.join(some, "_rid", "left").withColumn(text, F.when(F.col("_spans").isNotNull(), cleared).otherwise(F.col(text))).select(*docs.columns)
 
 
 def digests(docs: DataFrame) -> DataFrame:
