@@ -31,8 +31,8 @@ KINDS = tuple(PATTERNS)
 TOKEN = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
 #: A text that fails this has no match of the kind.
 NEEDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){11}", "phone": r"\+[0-9]"}
-#: Trust that a pattern needs for its kind, distinct known instances behind it, and rounds.
-TRUST, SUPPORT, ROUNDS = 0.8, 5, 3
+#: Trust that a pattern needs for its kind, distinct known instances behind it.
+TRUST, SUPPORT = 0.8, 5
 #: Characters looked at on either side for context words.
 NEAR = 60
 
@@ -48,12 +48,19 @@ def _valid(kind: str, m: Column) -> Column:
     return F.lit(True)
 
 
-def _around(kind: str, pieces: str):
-    """Of the k-th match: its kind and place in order, the length of the text between it and the match before, itself, what stands around it."""
+def _around(kind: str, matches: str, pieces: str):
+    """Of the k-th match: its kind and place in order, the length of the text between it and the match before, itself, and the text on either side, other matches included."""
 
     def of(m: Column, k: Column) -> Column:
-        gap, after = F.get(F.col(pieces), k), F.get(F.col(pieces), k + 1)
-        return F.struct(F.lit(kind).alias("kind"), k.alias("k"), F.length(gap).alias("gap"), m.alias("m"), F.right(gap, F.lit(NEAR)).alias("before"), F.left(after, F.lit(NEAR)).alias("after"))
+        p, x = F.col(pieces), F.col(matches)
+        gap, after = F.get(p, k), F.get(p, k + 1)
+        # A match and the piece beside it have two characters at least, so NEAR / 2 of them cover NEAR.
+        n, least = F.least(k, F.lit(NEAR // 2)), F.lit(NEAR // 2)
+        left = F.zip_with(F.slice(p, k - n + 1, n), F.slice(x, k - n + 1, n), lambda g, y: F.concat(F.right(g, F.lit(NEAR)), F.right(y, F.lit(NEAR))))
+        right = F.zip_with(F.slice(x, k + 2, least), F.slice(p, k + 3, least), lambda y, g: F.concat(F.left(y, F.lit(NEAR)), F.left(g, F.lit(NEAR))))
+        before = F.right(F.concat(F.array_join(left, ""), F.right(gap, F.lit(NEAR))), F.lit(NEAR))
+        behind = F.left(F.concat(F.left(after, F.lit(NEAR)), F.array_join(right, "")), F.lit(NEAR))
+        return F.struct(F.lit(kind).alias("kind"), k.alias("k"), F.length(gap).alias("gap"), m.alias("m"), before.alias("before"), behind.alias("after"))
 
     return of
 
@@ -68,7 +75,7 @@ def _matches(docs: DataFrame, kinds: dict[str, tuple[str, str]]) -> DataFrame:
         m, pieces = f"m_{kind}", f"p_{kind}"
         slim = slim.withColumn(m, F.when(F.col(f"has_{kind}"), F.regexp_extract_all("text", F.lit(pattern), F.lit(0))))
         slim = slim.withColumn(pieces, F.when(F.size(m) > 0, F.split("text", pattern, -1)))
-        parts.append(F.when(F.size(m) > 0, F.transform(m, _around(kind, pieces))).otherwise(F.array()))
+        parts.append(F.when(F.size(m) > 0, F.transform(m, _around(kind, m, pieces))).otherwise(F.array()))
     # Outer: else the planner adds a filter on the array's size, with all patterns matched once more.
     found = slim.select("rid", F.explode_outer(F.concat(*parts) if len(parts) > 1 else parts[0]).alias("f")).where("f is not null")
     rows = found.select("rid", "f.*").dropDuplicates(["rid", "kind", "k"])
@@ -98,8 +105,12 @@ def _patterns() -> Column:
     )
 
 
-def grown_spans(docs: DataFrame, base: DataFrame, trust: float = TRUST, support: int = SUPPORT, rounds: int = ROUNDS) -> DataFrame:
-    """rid, kind, start, end of tokens outside the base spans that trusted patterns hold."""
+def grown_spans(docs: DataFrame, base: DataFrame, trust: float = TRUST, support: int = SUPPORT) -> DataFrame:
+    """rid, kind, start, end of tokens outside the base spans that trusted patterns hold.
+
+    Rounds go on until one adds no instance.  An instance keeps the kind it has
+    first, so patterns only gain trust, the set only grows, and the rounds end.
+    """
     tokens = _matches(docs, {"token": (TOKEN, "[0-9@]")}).drop("k", "kind")
     # Tokens that overlap a base span are parts of it.
     taken = base.groupBy("rid").agg(F.collect_list(F.struct(F.col("start").alias("a"), F.col("end").alias("b"))).alias("spans"))
@@ -108,8 +119,8 @@ def grown_spans(docs: DataFrame, base: DataFrame, trust: float = TRUST, support:
     graph = cut(around(base, F.col("kind")).unionByName(around(free, F.lit(None).cast("string"))), "graph")
     # Edges of distinct instances; an instance's own kind, if a rule gave it one.
     edges = graph.groupBy("pattern", "value").agg(F.max("kind").alias("known"))
-    grown = None
-    for r in range(rounds):
+    grown, n = None, 0
+    while True:
         if grown is not None:
             edges_now = edges.join(grown.withColumnRenamed("kind", "learned"), "value", "left").select("pattern", F.coalesce("known", "learned").alias("kind"))
         else:
@@ -117,12 +128,18 @@ def grown_spans(docs: DataFrame, base: DataFrame, trust: float = TRUST, support:
         counts = edges_now.groupBy("pattern").agg(*(F.count(F.when(F.col("kind") == k, 1)).alias(k) for k in KINDS), F.count(F.lit(1)).alias("n"))
         best = F.greatest(*(F.struct(F.col(k).alias("c"), F.lit(k).alias("kind")) for k in KINDS))
         trusted = counts.withColumn("best", best).select("pattern", F.col("best.kind").alias("kind"), F.col("best.c").alias("c"), (F.col("best.c") / F.col("n")).alias("trust")).where((F.col("c") >= support) & (F.col("trust") >= trust))
-        step = cut(edges.where("known is null").join(trusted, "pattern").groupBy("value").agg(F.max(F.struct("trust", "kind")).alias("t")).select("value", F.col("t.kind").alias("kind")), "grown")
-        same = grown is not None and step.count() == grown.count()
+        step = edges.where("known is null").join(trusted, "pattern").groupBy("value").agg(F.max(F.struct("trust", "kind")).alias("t")).select("value", F.col("t.kind").alias("kind"))
+        if grown is not None:
+            step = step.join(grown.withColumnRenamed("kind", "first"), "value", "left").select("value", F.coalesce("first", "kind").alias("kind"))
+        step = cut(step, "grown")
         last_trusted = cut(trusted.select("pattern", F.col("kind").alias("as_kind")), "trusted")
-        grown = step
-        if same or r == rounds - 1 or not step.limit(1).count():
+        found, n = n, step.count()
+        if grown is not None:
+            discard(grown)
+        if n == found:
+            discard(step)
             break
+        grown = step
         discard(last_trusted)
     return graph.where("kind is null").join(last_trusted, "pattern").groupBy("rid", "start", "end").agg(F.min("as_kind").alias("kind"))
 
