@@ -51,7 +51,12 @@ _ATTR = re.compile(r"""(class|id|role|hidden|aria-hidden|style|href)\s*(?:=\s*(?
 _SPACE = re.compile(r"\s+")
 _WORD = re.compile(r"[A-Za-z]+")
 
-#: Depth beyond which elements are not nested further (very deep pages stay linear).
+#: Elements that a slash in the start tag closes.
+SELF_CLOSED = frozenset({"svg", "math"})
+#: End tags of elements that are skipped; ASCII, as only there case makes no difference.
+_END = {tag: re.compile(rf"</{tag}(?![^\s/>])", re.I | re.A) for tag in RAW}
+
+#: Depth beyond which elements have no nodes of their own (they belong to the node above).
 DEPTH = 200
 
 
@@ -100,7 +105,23 @@ def parse(page: str) -> tuple[Node, list[Node]]:
     links = 0
     skip: str | None = None
     pos, n = 0, len(page)
-    lower = None
+    #: Places on the stack of each open tag, and tags that do not end any more.
+    at: defaultdict[str, list[int]] = defaultdict(list)
+    endless: set[str] = set()
+
+    def top(tags: set[str]) -> int:
+        return max((at[t][-1] for t in tags if at[t]), default=0)
+
+    def close(k: int) -> None:
+        while len(stack) > k:
+            at[stack.pop()[0]].pop()
+
+    def end_of(tag: str) -> int:
+        m = None if tag in endless else _END[tag].search(page, pos)
+        if m is None:
+            endless.add(tag)
+            return -1
+        return m.start()
 
     def say(s: str) -> None:
         nonlocal text
@@ -120,9 +141,7 @@ def parse(page: str) -> tuple[Node, list[Node]]:
     while pos < n:
         if skip is not None:
             # Raw text runs to its end tag, or to the end of the page.
-            if lower is None:
-                lower = page.lower()
-            end = lower.find(f"</{skip}", pos)
+            end = end_of(skip)
             pos = n if end < 0 else end
             skip = None
             if pos >= n:
@@ -147,23 +166,21 @@ def parse(page: str) -> tuple[Node, list[Node]]:
             if tag == "br":
                 say(" ")
                 continue
-            if tag == "p" and not any(t == "p" for t, _ in stack):
+            if tag == "p" and not at["p"]:
                 text = None
                 continue
             if tag in BLOCK:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] == tag:
-                        del stack[k:]
-                        break
+                if at[tag]:
+                    close(at[tag][-1])
                 text, links = None, 0 if tag != "li" else links
             continue
         if tag in RAW:
             if tag in RAWTEXT:
                 skip = tag
-            elif tag != "head":
-                lower = lower or page.lower()
-                end = lower.find(f"</{tag}", pos)
-                pos = n if end < 0 else end
+            elif tag != "head" and not (tag in SELF_CLOSED and m[3].endswith("/")):
+                # Without an end tag its content is read as any other.
+                end = end_of(tag)
+                pos = pos if end < 0 else end
             continue
         if tag == "br" or tag == "wbr":
             if tag == "br" and text is not None:
@@ -179,20 +196,20 @@ def parse(page: str) -> tuple[Node, list[Node]]:
             if tag == "hr":
                 continue
             if tag in ENDS_P and stack[-1][0] == "p":
-                stack.pop()
+                close(len(stack) - 1)
             if tag in CLOSES:
                 shut, stop = CLOSES[tag]
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] in stop:
-                        break
-                    if stack[k][0] in shut:
-                        del stack[k:]
-                        break
+                k = top(shut)
+                if k > top(stop):
+                    close(k)
             if len(stack) < DEPTH:
                 cues, hidden, mark = _attributes(m[3])
                 node = Node(tag, stack[-1][1], cues, hidden or stack[-1][1].hidden)
                 node.label = stack[-1][1].label if mark is None else mark
-                stack.append((tag, node))
+            else:
+                node = stack[-1][1]
+            at[tag].append(len(stack))
+            stack.append((tag, node))
     for b in blocks:
         b.label, b.hidden = b.parent.label, b.parent.hidden
     return root, blocks
