@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Weight of the ballast coordinate on the posting's side, and its least number of skills.
 BALLAST, LEAST = 4, 6
+#: Chunks of a shard (mean: rows are dealt by hash).
+SHARD_ROWS = 8192
 
 
 def match_percent(wanted: Column, held: Column) -> Column:
@@ -77,15 +81,24 @@ def dot(a: str, b: str) -> Column:
 def nearest(chunks: DataFrame, queries: DataFrame, k: int, doc: str, group: str, vector: str, max_queries: int = 1000) -> DataFrame:
     """query, doc, distance, rank: the k documents of another group nearest to each query document, by the least cosine distance of their chunks.
 
-    queries: the same columns; at most max_queries chunk rows, which are broadcast
-    (the bound is checked).  Ties go to the smaller doc.
+    queries: the same columns.  Up to max_queries chunk rows are broadcast; more
+    meet the chunks in a grid of cells (shard, block of queries) of bounded size.
+    Ties go to the smaller doc.
     """
-    if queries.limit(max_queries + 1).count() > max_queries:
-        raise ValueError(f"more than {max_queries} query chunks: search them in batches")
     norm = lambda c: F.sqrt(dot(c, c))
     d = chunks.select(F.col(doc).alias("doc"), F.col(group).alias("g"), F.col(vector).alias("v"), norm(vector).alias("nv"))
     q = queries.select(F.col(doc).alias("query"), F.col(group).alias("qg"), F.col(vector).alias("qv"), norm(vector).alias("nq"))
-    pairs = d.join(F.broadcast(q), (F.col("doc") != F.col("query")) & (F.col("g") != F.col("qg")))
+    other = (F.col("doc") != F.col("query")) & (F.col("g") != F.col("qg"))
+    if queries.limit(max_queries + 1).count() <= max_queries:
+        pairs = d.join(F.broadcast(q), other)
+    else:
+        blocks, shards = math.ceil(queries.count() / max_queries), math.ceil(chunks.count() / SHARD_ROWS)
+        place = lambda n, *c: F.pmod(F.xxhash64(*c), F.lit(n))
+        every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")))
+        d = d.withColumn("shard", place(shards, "doc", "v")).withColumn("block", every(blocks))
+        q = q.withColumn("block", place(blocks, "query", "qv")).withColumn("shard", every(shards))
+        cell = (d["shard"] == q["shard"]) & (d["block"] == q["block"])
+        pairs = d.join(q, cell & other)
     best = pairs.groupBy("query", "doc").agg(F.min(1 - dot("v", "qv") / (F.col("nv") * F.col("nq"))).alias("distance"))
     w = Window.partitionBy("query").orderBy("distance", "doc")
     return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
