@@ -1,14 +1,16 @@
 """Exact top-k inner-product search by MaxScore over dimension postings.
 
-A dimension is a term; its posting list is the column of quantised components
-over the vectors of a shard.  A query's bound for a term is the largest
-contribution that any vector of the shard can make there.  Terms are split by
-these bounds: the terms of least bound whose bounds together stay below the
-query's threshold are non-essential.  Essential postings are traversed for all
-vectors of a chunk; a vector is competitive while its partial score plus the
-bounds of the terms not yet read can still reach the threshold, and only
-competitive vectors are probed in the non-essential lists.  Each shard keeps k
-rows a query; the shards' lists are merged by rank.
+A dimension is a term; its posting list is the row of quantised components of a
+shard's vectors, by rising id.  A query's bound for a term is the largest
+contribution that any vector of the chunk can make there.  A query reads the
+lists of its terms by falling reach (the largest less the least contribution).
+What the terms not yet read can still add to a vector is bounded twice: by the
+sum of their bounds, and by the product of the lengths of query and vector in
+those terms.  Terms are essential while the vectors of a chunk have to be read
+there; as soon as few vectors are competitive (read part plus bound above the
+query's threshold), the remaining, non-essential, lists are only probed at the
+places of those vectors, and fewer from list to list.  Each shard keeps k rows
+a query; the shards' lists are merged by rank.
 
 Queries and vectors meet in a grid of cells (shard, query block), both of
 bounded size, so no task and no broadcast grows with the table.
@@ -24,10 +26,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Vectors of a shard, queries of a block (means: rows are dealt by hash), and vectors of a chunk.
-SHARD_ROWS, BLOCK_QUERIES, CHUNK = 8192, 4096, 2048
-#: Queries scored together against a chunk.
-TILE = 256
+#: Vectors of a shard and queries of a block (means: rows are dealt by hash), and vectors of the first and of the other chunks.
+SHARD_ROWS, BLOCK_QUERIES, FIRST, CHUNK = 8192, 16384, 256, 4096
+#: Terms read between two looks at the bounds, and the part of a chunk below which its competitive vectors are probed one by one.
+STEP, FEW = 8, 6
 #: Below this every partial sum is a whole number that the float type holds exactly.
 EXACT32, EXACT64 = 1 << 24, 1 << 53
 LONG = (1 << 63) - 1
@@ -39,80 +41,83 @@ def quantised(embedding: str, scale: int = 256) -> Column:
     return F.when(~F.coalesce(bad, F.lit(True)), F.transform(embedding, lambda x: F.floor(x.cast("double") * scale)))
 
 
+def largest(x: np.ndarray) -> int:
+    """The largest absolute value, also of the least long, which has no positive one."""
+    return max(int(x.max(initial=0)), -int(x.min(initial=0)))
+
+
+class Shard:
+    """Posting lists of a shard: lists[term][i] is the component of the i-th vector by rising id; touched counts postings read."""
+
+    def __init__(self, vec_ids: np.ndarray, x: np.ndarray, reach: int):
+        order = np.argsort(vec_ids, kind="stable")
+        self.ids, x = vec_ids[order], x[order]
+        top = largest(x) * reach * max(x.shape[1], 1) * 2
+        # Whole numbers beyond what floats hold are added as Python's own.
+        self.kind = np.float32 if top < EXACT32 else np.float64 if top < EXACT64 else object
+        x = x.astype(self.kind)
+        self.chunks = []
+        # A small first chunk gives queries a threshold for the others.
+        edges = [0, *range(FIRST, len(x), CHUNK), len(x)]
+        for a, e in zip(edges, edges[1:], strict=False):
+            lists = np.ascontiguousarray(x[a:e].T)
+            square = (lists.astype(np.float64) ** 2).sum(axis=0)
+            self.chunks.append((self.ids[a:e], lists, lists.max(axis=1), lists.min(axis=1), square))
+        self.touched = 0
+
+    def search(self, query_id: int, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The k best vectors of other ids: their ids and scores, best first, ties by id; scores beyond a long count as its limit."""
+        q = q.astype(self.kind)
+        d, wide = len(q), self.kind is object
+        best_v, best_s = np.empty(0, np.int64), np.empty(0, object if wide else np.float64)
+        for ids, lists, high, low, square in self.chunks:
+            threshold = best_s[-1] if len(best_s) == k else None
+            bounds, floor = np.maximum(q * high, q * low), np.minimum(q * high, q * low)
+            terms = np.argsort(-(bounds - floor), kind="stable")
+            ahead = np.concatenate([np.cumsum(bounds[terms][::-1])[::-1], [0]])
+            # Lengths of the query in the terms not yet read; a little more than exact, as these are floats.
+            length = np.sqrt(np.concatenate([np.cumsum((q.astype(np.float64) ** 2)[terms][::-1])[::-1], [0.0]])) * (1 + 1e-9)
+            alive = None  # all
+            score, left, slack = np.zeros(len(ids), self.kind), square, 1e-5 * float(square.max(initial=0))
+            if threshold is not None and ahead[0] <= threshold:
+                continue
+            for a in range(0, d, STEP):
+                now = terms[a : a + STEP]
+                part = lists[now] if alive is None else lists[now[:, None], alive]
+                self.touched += part.size
+                score = score + q[now] @ part
+                if threshold is None:
+                    continue
+                near = score + ahead[a + STEP if a + STEP < d else d] > threshold
+                if not wide:
+                    left = left - np.einsum("ij,ij->j", part, part)
+                    near &= score + length[min(a + STEP, d)] * np.sqrt(np.maximum(left, 0) + slack) + 1e-6 >= threshold
+                # Competitive vectors: while they are many, their lists are essential and read whole.
+                if alive is not None or near.sum() * FEW < len(near):
+                    alive = np.nonzero(near)[0] if alive is None else alive[near]
+                    score, left = score[near], left[near]
+                    if not len(alive):
+                        break
+            at = ids if alive is None else ids[alive]
+            if wide:
+                score = np.array([min(max(int(s), -LONG - 1), LONG) for s in score], object)
+            keep = at != query_id
+            if threshold is not None:
+                # Ids rise, so a later vector of the threshold's score comes after it.
+                keep &= score > threshold
+            v, s = np.concatenate([best_v, at[keep]]), np.concatenate([best_s, score[keep]])
+            pick = np.argsort(-s, kind="stable")[:k]
+            best_v, best_s = v[pick], s[pick]
+        return best_v, best_s.astype(np.int64)
+
+
 def search_cell(vec_ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The k best vectors of a shard for each query: arrays query_id, vec_id, score."""
-    order = np.argsort(vec_ids, kind="stable")
-    vec_ids, x = vec_ids[order], x[order]
-    n, d = x.shape
-    top = float(np.abs(x).max(initial=0)) * float(np.abs(q).max(initial=0)) * max(d, 1) * 2
-    if top >= EXACT64:
-        return _search_wide(vec_ids, x, query_ids, q, k)
-    kind = np.float32 if top < EXACT32 else np.float64
-    x, out = x.astype(kind), []
-    high, low = x.max(axis=0), x.min(axis=0)
-    for a in range(0, len(query_ids), TILE):
-        ids, t = query_ids[a : a + TILE], q[a : a + TILE].astype(kind)
-        m = len(ids)
-        bounds = np.maximum(t * high, t * low)
-        by_bound = np.argsort(bounds, axis=1)
-        rising = np.cumsum(np.take_along_axis(bounds, by_bound, axis=1), axis=1)
-        best_s = np.full((m, k), -np.inf)
-        best_v = np.full((m, k), LONG, dtype=np.int64)
-        for b in range(0, n, CHUNK):
-            part, part_ids = x[b : b + CHUNK], vec_ids[b : b + CHUNK]
-            threshold = best_s[:, -1]
-            # Non-essential: the longest run of least bounds that alone can't reach the threshold.
-            cut = (rising < threshold[:, None]).sum(axis=1)
-            rank = np.empty_like(by_bound)
-            np.put_along_axis(rank, by_bound, np.broadcast_to(np.arange(d), (m, d)), axis=1)
-            essential = rank >= cut[:, None]
-            rest = np.where(cut > 0, np.take_along_axis(rising, np.maximum(cut - 1, 0)[:, None], axis=1)[:, 0], 0) if d else np.zeros(m)
-            partial = np.where(essential, t, 0).astype(kind) @ part.T
-            # A tie with the threshold can still win by a smaller id only among equals, and ids rise: strict unless not full.
-            rows, cols = np.nonzero(partial + rest[:, None] > threshold[:, None])
-            own = part_ids[cols] != ids[rows]
-            rows, cols = rows[own], cols[own]
-            if not len(rows):
-                continue
-            scores = partial[rows, cols].astype(np.float64)
-            light = np.where(essential, 0, t).astype(kind)
-            for c in range(0, len(rows), 1 << 15):
-                s = slice(c, c + (1 << 15))
-                if d:
-                    scores[s] += np.einsum("ij,ij->i", light[rows[s]], part[cols[s]], dtype=np.float64)
-            keep = scores > threshold[rows]
-            rows, cols, scores = rows[keep], cols[keep], scores[keep]
-            if not len(rows):
-                continue
-            touched, start = np.unique(rows, return_index=True)
-            sort = np.lexsort((part_ids[cols], -scores, rows))
-            rows, cols, scores = rows[sort], cols[sort], scores[sort]
-            place = np.arange(len(rows)) - np.searchsorted(rows, rows)
-            few = place < k
-            new_s = np.full((m, k), -np.inf)
-            new_v = np.full((m, k), LONG, dtype=np.int64)
-            new_s[rows[few], place[few]] = scores[few]
-            new_v[rows[few], place[few]] = part_ids[cols[few]]
-            both_s = np.concatenate([best_s[touched], new_s[touched]], axis=1)
-            both_v = np.concatenate([best_v[touched], new_v[touched]], axis=1)
-            pick = np.lexsort((both_v, -both_s), axis=1)[:, :k]
-            best_s[touched] = np.take_along_axis(both_s, pick, axis=1)
-            best_v[touched] = np.take_along_axis(both_v, pick, axis=1)
-        r, c = np.nonzero(np.isfinite(best_s))
-        out.append((ids[r], best_v[r, c], best_s[r, c].astype(np.int64)))
-    if not out:
-        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
-    return tuple(np.concatenate(z) for z in zip(*out, strict=True))
-
-
-def _search_wide(vec_ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, k: int):
-    """The same in whole numbers of any size, for components beyond what floats hold; scores are clamped to long."""
-    out, wide = [], x.astype(object)
-    for i, t in zip(query_ids, q.astype(object), strict=True):
-        scores = [min(max(int(s), -LONG - 1), LONG) for s in wide @ t]
-        ranked = sorted((-s, int(v)) for s, v in zip(scores, vec_ids, strict=True) if v != i)[:k]
-        out += [(int(i), v, -s) for s, v in ranked]
-    return tuple(np.array(z, dtype=np.int64) for z in zip(*out, strict=True)) if out else (np.empty(0, np.int64),) * 3
+    shard = Shard(vec_ids, x, largest(q))
+    found = [(i, *shard.search(i, t, k)) for i, t in zip(query_ids, q, strict=True)]
+    if not found:
+        return (np.empty(0, np.int64),) * 3
+    return np.repeat([f[0] for f in found], [len(f[1]) for f in found]).astype(np.int64), np.concatenate([f[1] for f in found]), np.concatenate([f[2] for f in found])
 
 
 def top_k(vectors: DataFrame, queries: Column, k: int = 5, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
@@ -120,19 +125,23 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 5, vec_id: str = "vec_id
 
     queries: condition on the id column (named vec_id inside) that picks the
     query rows.  Ties go to the smaller vec_id.  Rows without id, and vectors
-    that are null or hold null or non-finite components, take no part.  Of rows
-    that share an id the least vector counts.  Vectors are compared with those
-    of the same length; empty ones score 0.  A query without other vectors has
-    no row; empty tables give none.
+    that are null or hold null or non-finite components, take no part.  Every
+    row counts: rows that share an id are queries and candidates of their own,
+    meet no row of the same id, and a query_id's rank runs over the results of
+    all its rows; of equal rows each has its place.  Vectors are compared with those of the same
+    length; empty ones score 0.  A query without other vectors has no row; empty
+    tables give none.
     """
-    rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), quantised(embedding).alias("x")).where("vec_id is not null and x is not null")
-    one = rows.groupBy("vec_id").agg(F.min("x").alias("x")).withColumn("d", F.size("x"))
-    n = vectors.count()  # from the Parquet footers
+    rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), quantised(embedding).alias("x")).where("vec_id is not null and x is not null").withColumn("d", F.size("x"))
+    picked = rows.where(queries)
+    # One pass over the ids alone: n of the vectors, and of the queries.
+    ids = vectors.select(F.col(vec_id).cast("long").alias("vec_id"))
+    n, m = ids.agg(F.count(F.lit(1)), F.count_if(F.coalesce(queries, F.lit(False)))).first()
     shards = max(1, math.ceil(n / SHARD_ROWS))
-    blocks = max(1, math.ceil(n / 50 / BLOCK_QUERIES))
-    place = lambda c, m, seed: F.pmod(F.xxhash64(c, F.lit(seed)), F.lit(m)).cast("int")
-    data = one.withColumn("shard", place(F.col("vec_id"), shards, 1)).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    asked = one.where(queries).withColumn("block", place(F.col("vec_id"), blocks, 2)).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    blocks = max(1, math.ceil(m / BLOCK_QUERIES))
+    place = lambda m, seed: F.pmod(F.xxhash64("vec_id", "x", F.lit(seed)), F.lit(m)).cast("int")
+    data = rows.withColumn("shard", place(shards, 1)).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    asked = picked.withColumn("block", place(blocks, 2)).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
     cells = ["d", "shard", "block"]
 
     def cell(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
