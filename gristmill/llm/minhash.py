@@ -10,7 +10,9 @@ Jaccard on the full sets.
 Only connectivity is asked for, so candidates are not expanded into pairs:
 equal sets are one class, each band's bucket is tested as a star around its
 least class, and later rounds look only at buckets that still hold more than one
-component.  Those are looked through in blocks of bounded size, by byte
+component.  Classes have numbers of their own, so rows that share an id are told
+apart by their sets.  A bucket, family, component or class of copies with many
+rows is dealt over several tasks wherever it is joined.  Unresolved buckets are looked through in blocks of bounded size, by byte
 sketches of the signatures: first each member is tested against its likeliest
 partner of another component, then families are made of what likely pairs hold
 together, and in them whatever is still apart is compared by full sets.
@@ -27,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import cut, discard, spread
+from gristmill.llm.common import cut, discard, row_id, spread
 from gristmill.llm.components import components
 
 #: Words of a shingle, and bands and rows of a band.  At a similarity of 0.8 a
@@ -40,6 +42,10 @@ CELL_CHARS = 4_000_000
 #: A pair is confirmed by its full sets if its sketches (a byte of each coordinate) agree this far below the
 #: wanted similarity: 5.3 standard deviations of 200 coordinates, which a similar pair misses 6e-8 of the times.
 SLACK = 0.15
+#: Rows of a key that go to one task of a join, and keys with more rows that can be: their list, of 16 bytes a key, is broadcast.
+HOT_ROWS, HOT_KEYS = 512, 100_000
+#: Pieces in which rows without a key are dealt.
+NULL_PIECES = 1024
 #: Words with remembered hashes in a worker; the table is emptied when full.
 CACHE = 150_000
 #: Shingles whose coordinates are worked out together.
@@ -121,12 +127,12 @@ def band_keys(signature: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np
 
 
 def sketches(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = WORDS, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, n_shingles, digest of the set, bands, sketch (a byte of each coordinate); the last three null for an empty set."""
+    """doc_id, ra, rb (row_id of id and text), n_shingles, digest of the set, bands, sketch (a byte of each coordinate); the last three null for an empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _Hashes()
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1)
+            texts, rest = batch.column(0), [batch.column(i) for i in (1, 2, 3)]
             sizes = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
             start = 0
             while start < len(sizes):
@@ -146,12 +152,13 @@ def sketches(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size:
                     bytes_of.update(zip(full[i:j], (x.tobytes() for x in signature.astype(np.uint8)), strict=True))
                     i = j
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(start, stop - start), pa.array([len(s) for s in sets], pa.int64()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()), pa.array([keys.get(k) for k in range(len(sets))], pa.list_(pa.int64())), pa.array([bytes_of.get(k) for k in range(len(sets))], pa.binary())],
-                    names=["doc_id", "n_shingles", "digest", "bands", "sketch"],
+                    [*(x.slice(start, stop - start) for x in rest), pa.array([len(s) for s in sets], pa.int64()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()), pa.array([keys.get(k) for k in range(len(sets))], pa.list_(pa.int64())), pa.array([bytes_of.get(k) for k in range(len(sets))], pa.binary())],
+                    names=["doc_id", "ra", "rb", "n_shingles", "digest", "bands", "sketch"],
                 )
                 start = stop
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, n_shingles long, digest binary, bands array<long>, sketch binary")
+    keyed = docs.select(F.col(text).alias("text"), F.col(doc_id).cast("long").alias("doc_id"), row_id(doc_id, text).alias("r")).select("text", "doc_id", "r.a", "r.b")
+    return keyed.mapInArrow(run, "doc_id long, ra long, rb long, n_shingles long, digest binary, bands array<long>, sketch binary")
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, size: int = WORDS, percent: int = 80) -> DataFrame:
@@ -181,21 +188,48 @@ def confirmed(pairs: DataFrame, texts: DataFrame, size: int = WORDS, percent: in
     return rows.mapInArrow(run, "a long, b long")
 
 
+def _pieces(total: int) -> Column:
+    """Tasks among which a key with n of the total rows is dealt."""
+    return F.greatest(F.ceil(F.col("n") / _most(total)), F.lit(1)).cast("int")
+
+
+def _most(total: int) -> int:
+    return max(HOT_ROWS, -(-total // HOT_KEYS))
+
+
+def dealt_join(rows: DataFrame, facts: DataFrame, key: str, by: str, total: int, how: str = "inner") -> DataFrame:
+    """rows joined with facts, a written table of one row a key with n, the number of rows that the key has.
+
+    Keys with more rows than a task should get are dealt over pieces, by the
+    hash of column by; the facts are repeated for each piece.  Of `total` rows
+    fewer than HOT_KEYS keys can be such, so their list is broadcast.
+    """
+    hot = facts.where(F.col("n") > _most(total)).select(key, _pieces(total).alias("_p"))
+    pieces = F.coalesce("_p", F.when(F.col(key).isNull(), NULL_PIECES), F.lit(1))
+    left = rows.join(F.broadcast(hot), key, "left").withColumn("_s", F.pmod(F.xxhash64(by), pieces).cast("int")).drop("_p")
+    right = facts.withColumn("_s", F.explode(F.sequence(F.lit(0), _pieces(total) - 1))).drop("n")
+    return left.join(right, [key, "_s"], how).drop("_s")
+
+
+def _pieces_of(facts: DataFrame) -> DataFrame:
+    """Facts of buckets repeated for each piece s."""
+    return facts.withColumn("s", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).drop("pieces")
+
+
 def _stars(groups: DataFrame) -> DataFrame:
-    """Pairs of each bucket's least class with its other classes, tested when of different components; groups: g, c, comp."""
-    least = groups.groupBy("g").agg(F.min(F.struct("c", "comp")).alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
-    pairs = groups.join(least, "g").where("c <> m.c and comp <> m.comp")
+    """Pairs of each bucket's least class with its other classes, tested when of different components; groups: g, s, pieces, c, comp."""
+    least = groups.groupBy("g").agg(F.min(F.struct("c", "comp")).alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("pieces").alias("pieces")).where("lo <> hi")
+    pairs = groups.drop("pieces").join(_pieces_of(least), ["g", "s"]).where("c <> m.c and comp <> m.comp")
     return pairs.select(F.col("m.c").alias("a"), F.col("c").alias("b")).distinct()
 
 
-def _dealt(members: DataFrame, group: str, sizes: DataFrame) -> DataFrame:
+def _dealt(rows: DataFrame, group: str) -> DataFrame:
     """Blocks (group, i, j) in which every member outside its group's main component meets every member.
 
-    sizes: group, main, ka and km: the numbers of blocks of all members and of
-    those outside the main component.  Members come with few: whether they stand
-    on the side of the latter.
+    rows: members with their group's main, ka and km: the numbers of blocks of
+    all members and of those outside the main component.  Members come with few:
+    whether they stand on the side of the latter.
     """
-    rows = members.join(sizes, group)
     chunk = lambda k, seed: F.pmod(F.xxhash64("c", F.lit(seed)), F.col(k)).cast("int")
     every = rows.select(group, F.explode(F.sequence(F.lit(0), F.col("km") - 1)).alias("i"), chunk("ka", 1).alias("j"), F.lit(False).alias("few"), "c", "comp")
     few = rows.where("comp <> main").select(group, chunk("km", 2).alias("i"), F.explode(F.sequence(F.lit(0), F.col("ka") - 1)).alias("j"), F.lit(True).alias("few"), "c", "comp")
@@ -207,11 +241,11 @@ def _blocks(n: Column, w: Column | None = None) -> Column:
 
 
 def _cells(rest: DataFrame, classes: DataFrame) -> DataFrame:
-    """Blocks of about CELL members a side that hold every pair of different components of each unresolved bucket; rest: g, c, comp."""
-    by_comp = rest.groupBy("g", "comp").agg(F.count(F.lit(1)).alias("n"))
-    top = by_comp.groupBy("g").agg(F.sum("n").alias("n"), F.max(F.struct("n", "comp")).alias("top"))
-    sizes = top.select("g", F.col("top.comp").alias("main"), _blocks(F.col("n")).alias("ka"), _blocks(F.col("n") - F.col("top.n")).alias("km"))
-    cells = _dealt(rest.select("g", "c", "comp"), "g", sizes).join(classes.select("c", "sketch"), "c")
+    """Blocks of about CELL members a side that hold every pair of different components of each unresolved bucket; rest: g, s, pieces, c, comp."""
+    by_comp = rest.groupBy("g", "comp").agg(F.count(F.lit(1)).alias("n"), F.max("pieces").alias("pieces"))
+    top = by_comp.groupBy("g").agg(F.sum("n").alias("n"), F.max(F.struct("n", "comp")).alias("top"), F.max("pieces").alias("pieces"))
+    sizes = top.select("g", "pieces", F.col("top.comp").alias("main"), _blocks(F.col("n")).alias("ka"), _blocks(F.col("n") - F.col("top.n")).alias("km"))
+    cells = _dealt(rest.select("g", "s", "c", "comp").join(_pieces_of(sizes), ["g", "s"]), "g").join(classes.select("c", "sketch"), "c")
     return cells.groupBy("g", "i", "j").agg(F.collect_list(F.struct("few", "c", "comp", "sketch")).alias("m")).select("m")
 
 
@@ -265,8 +299,9 @@ def _family_links(members: DataFrame, texts: DataFrame, size: int, percent: int)
     weighed = cut(members.join(texts.select("c", F.length("text").alias("w")), "c"), "family")
     by_comp = weighed.groupBy("family", "comp").agg(F.count(F.lit(1)).alias("n"), F.sum("w").alias("w"))
     totals = by_comp.groupBy("family").agg(F.sum("n").alias("n"), F.sum("w").alias("w"), F.max(F.struct("n", "w", "comp")).alias("top"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-    sizes = totals.select("family", F.col("top.comp").alias("main"), _blocks(F.col("n"), F.col("w")).alias("ka"), _blocks(F.col("n") - F.col("top.n"), F.col("w") - F.col("top.w")).alias("km"))
-    cells = _dealt(weighed.select("family", "c", "comp"), "family", sizes).join(texts, "c").groupBy("family", "i", "j").agg(F.collect_list(F.struct("few", "c", "comp", "text")).alias("m")).select("m")
+    sizes = totals.select("family", "n", F.col("top.comp").alias("main"), _blocks(F.col("n"), F.col("w")).alias("ka"), _blocks(F.col("n") - F.col("top.n"), F.col("w") - F.col("top.w")).alias("km"))
+    placed = dealt_join(weighed.select("family", "c", "comp"), cut(sizes, "sizes"), "family", "c", weighed.count())
+    cells = _dealt(placed, "family").join(texts, "c").groupBy("family", "i", "j").agg(F.collect_list(F.struct("few", "c", "comp", "text")).alias("m")).select("m")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _Hashes()
@@ -302,24 +337,38 @@ def _family_links(members: DataFrame, texts: DataFrame, size: int, percent: int)
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = WORDS, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs.
 
-    component_id is the smallest doc_id reachable over confirmed links, itself
-    included; kept: doc_id = component_id.  Documents without words (null, empty
-    or white space) are linked with nothing.  Rows that repeat a doc_id share
-    its component; rows with a null id stand alone and are not kept.
+    component_id is the smallest doc_id of the rows reachable over confirmed
+    links, itself included; kept: doc_id = component_id.  Documents without words
+    (null, empty or white space) are linked with nothing.  Rows that repeat a
+    doc_id are documents of their own, each linked by its own text.  Rows with a
+    null id link no others and are not kept; their component_id is that of the
+    rows with their text's set, null without such.  An empty table gives no rows.
     """
+    out = grouped(docs, doc_id, text, size, percent, bands, rows)
+    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
+
+
+def grouped(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = WORDS, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """rid (row_id of id and text), doc_id, n_shingles, component (a number, null without words), component_id for every row, as near_duplicates()."""
     docs = spread(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")))
     sketch = cut(sketches(docs, "doc_id", "text", size, bands, rows), "sketch")
-    classes = cut(sketch.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("c"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "classes")
-    buckets = classes.select("c", F.explode("bands").alias("g"))
-    shared = buckets.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("g")
-    groups = cut(buckets.join(shared, "g").select("g", "c"), "buckets")
-    texts = cut(docs.join(groups.select(F.col("c").alias("doc_id")).distinct(), "doc_id").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("c"), "text"), "texts")
+    equal = sketch.where("digest is not null and doc_id is not null").groupBy("digest")
+    classes = equal.agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"), F.min(F.struct("ra", "rb")).alias("rid"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    classes = cut(classes.withColumn("c", F.monotonically_increasing_id()), "classes")
+    buckets, places = classes.select("c", F.explode("bands").alias("g")), bands * classes.count()
+    shared = cut(buckets.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumn("pieces", _pieces(places)), "shared")
+    hot = F.broadcast(shared.where("pieces > 1").select("g", F.col("pieces").alias("_p")))  # fewer than HOT_KEYS
+    placed = buckets.join(hot, "g", "left").withColumn("pieces", F.coalesce("_p", F.lit(1))).withColumn("s", F.pmod(F.xxhash64("c"), F.col("pieces")).cast("int"))
+    groups = cut(placed.join(_pieces_of(shared.select("g", "pieces")), ["g", "s"]).select("g", "s", "pieces", "c"), "buckets")
+    named = classes.join(groups.select("c").distinct(), "c").select("c", F.col("rid.ra").alias("ra"), F.col("rid.rb").alias("rb"))
+    own = docs.select("text", row_id().alias("r")).select("text", F.col("r.a").alias("ra"), F.col("r.b").alias("rb"))
+    texts = cut(own.join(named, ["ra", "rb"]).dropDuplicates(["c"]).select("c", "text"), "texts")
     labels = None
 
     def labelled(g: DataFrame) -> DataFrame:
         if labels is None:
             return g.withColumn("comp", F.col("c"))
-        return g.join(labels.select(F.col("u").alias("c"), F.col("v").alias("_v")), "c", "left").select("g", "c", F.coalesce("_v", "c").alias("comp"))
+        return g.join(labels.select(F.col("u").alias("c"), F.col("v").alias("_v")), "c", "left").withColumn("comp", F.coalesce("_v", "c")).drop("_v")
 
     def join_up(found: DataFrame) -> None:
         nonlocal labels
@@ -328,8 +377,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     def unresolved() -> DataFrame:
         now = labelled(groups)
-        mixed = now.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi and n > 2")
-        return cut(now.join(mixed.select("g"), "g"), "rest")
+        mixed = now.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("pieces").alias("pieces")).where("lo <> hi and n > 2")
+        return cut(now.join(_pieces_of(mixed.select("g", "pieces")), ["g", "s"]).select("g", "s", "pieces", "c", "comp"), "rest")
 
     join_up(confirmed(_stars(labelled(groups)), texts, size, percent))
     least = int(bands * rows * (percent / 100 - SLACK))
@@ -345,10 +394,13 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     discard(rest)
     discard(groups)
     discard(texts)
-    ids = classes.select("digest", "c")
-    if labels is not None:
-        ids = ids.join(labels.select(F.col("u").alias("c"), F.col("v").alias("_v")), "c", "left").select("digest", F.coalesce("_v", "c").alias("component"))
-    else:
-        ids = ids.withColumnRenamed("c", "component")
-    out = sketch.select("doc_id", "n_shingles", "digest").join(ids, "digest", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), F.coalesce(F.col("doc_id") == F.coalesce("component", "doc_id"), F.lit(False)).alias("kept"))
+    # The least id of each component of several classes, and back to its classes.
+    joined = labels.select(F.col("v").alias("component"), F.col("u").alias("c")).unionByName(labels.select(F.col("v").alias("component"), F.col("v").alias("c")).distinct())
+    joined = cut(joined.join(classes.select("c", "least"), "c"), "joined")
+    first = cut(joined.groupBy("component").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n")), "first")
+    linked = dealt_join(joined.select("component", "c"), first, "component", "c", joined.count())
+    ids = classes.select("digest", "n", "c", "least").join(linked, "c", "left")
+    ids = cut(ids.select("digest", "n", F.coalesce("component", "c").alias("component"), F.coalesce("component_id", "least").alias("component_id")), "ids")
+    out = dealt_join(sketch.select("doc_id", "ra", "rb", "n_shingles", "digest"), ids, "digest", "ra", sketch.count(), "left")
+    alone = F.when(F.col("component").isNull(), F.col("doc_id"))
+    return out.select(F.struct(F.col("ra").alias("a"), F.col("rb").alias("b")).alias("rid"), "doc_id", "n_shingles", "component", F.coalesce("component_id", alone).alias("component_id"))

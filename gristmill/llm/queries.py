@@ -77,13 +77,13 @@ MINHASH_SQL = r"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
 s AS (SELECT doc_id, CASE WHEN w IS NULL OR len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
   ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3])) END AS s FROM w),
-k AS (SELECT list_sort(s) AS s, min(doc_id) AS c, len(any_value(s)) AS n FROM s WHERE len(s) > 0 GROUP BY list_sort(s)),
+k AS (SELECT list_sort(s) AS s, row_number() OVER () AS c, min(doc_id) AS f, len(any_value(s)) AS n FROM s WHERE len(s) > 0 AND doc_id IS NOT NULL GROUP BY list_sort(s)),
 x AS (SELECT c, n, unnest(s) AS g FROM k),
 i AS (SELECT a.c AS a, b.c AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS shared FROM x a JOIN x b ON a.g = b.g AND a.c < b.c AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n) GROUP BY a.c, b.c),
 l AS (SELECT a, b FROM i WHERE 100 * shared >= 80 * (na + nb - shared) UNION SELECT b, a FROM i WHERE 100 * shared >= 80 * (na + nb - shared)),
 r AS (SELECT c AS u, c AS v FROM k UNION SELECT r.u, l.b FROM r JOIN l ON r.v = l.a),
-m AS (SELECT u AS c, min(v) AS component FROM r GROUP BY u)
-SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, coalesce(m.component, s.doc_id) AS component_id, s.doc_id = coalesce(m.component, s.doc_id) AS kept
+m AS (SELECT r.u AS c, min(k.f) AS component FROM r JOIN k ON k.c = r.v GROUP BY r.u)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, coalesce(m.component, s.doc_id) AS component_id, coalesce(s.doc_id = coalesce(m.component, s.doc_id), false) AS kept
 FROM s LEFT JOIN k ON list_sort(s.s) = k.s LEFT JOIN m ON m.c = k.c
 """
 
