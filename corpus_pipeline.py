@@ -34,12 +34,12 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     prepare(spark)
     docs = docs.select(*COLUMNS)
     rows = docs.where("doc_id is not null").withColumn("_rid", row_id())
-    groups = minhash.near_duplicates(rows.select(F.col("_rid.a").alias("row"), "text"), "row")
-    ids = cut(rows.select(F.col("_rid.a").alias("row"), "doc_id", "_rid").groupBy("row", "doc_id", "_rid").agg(F.count(F.lit(1)).alias("n")), "ids")
-    first = groups.select(F.col("doc_id").alias("row"), "component_id").distinct().join(ids, "row").groupBy("component_id").agg(F.min(F.struct("doc_id", "_rid")).alias("f"))
-    gone = cut(ids.join(first.select("f._rid"), "_rid", "left_anti").select("_rid"), "gone")
+    groups = cut(minhash.grouped(rows), "groups")
+    # Of a group the row of the least id; of rows of that id, the one of the least hash.
+    first = groups.where("component is not null and doc_id = component_id").groupBy("component").agg(F.min("rid").alias("rid"))
+    gone = cut(groups.where("component is not null").join(first.select("rid"), "rid", "left_anti").select(F.col("rid").alias("_rid")).distinct(), "gone")
     # Only equal rows are brought together: the others' texts need not move.
-    again = cut(ids.where("n > 1").select("_rid"), "again")
+    again = cut(groups.groupBy(F.col("rid").alias("_rid")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("_rid"), "again")
     left = rows.join(gone, "_rid", "left_anti")
     kept = left.join(again, "_rid", "left_anti").select(*COLUMNS).unionByName(left.join(again, "_rid", "left_semi").dropDuplicates(["_rid"]).select(*COLUMNS))
     return kept.unionByName(docs.where("doc_id is null"))
