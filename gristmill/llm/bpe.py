@@ -8,12 +8,17 @@ right edge of p and y on the left edge of t, fired while both were still whole:
 k < the rank at which x is merged away inside p, and k <= that of y inside t
 (equal ranks: the left pair is merged first).  The token automaton is
 deterministic: every prefix of a word has exactly one state, its last token.
-Written out it would have |V|^2 arcs, so arcs are kept as the gadgets' tables
-and tested arcs are remembered in a bounded table.
+
+Tokens that have x on their right edge are x's descendants in the forest "right
+part of"; numbered depth first, parts of later merges before those of earlier
+ones, the ones in which x outlives rank k are neighbours.  The same holds for
+labels and left parts.  So a gadget closes the arcs of a rectangle, states by
+labels, and the whole automaton is compiled into one table: for each state the
+sorted, disjoint ranges of labels without an arc.
 
 A byte trie gives the labels leaving a position.  Encoding a pre-split word is
 one left-to-right pass: from each position follow the trie, and enter the state
-of a label when the automaton has the arc.  Time is linear in the word's
+of a label when the table has the arc.  Time is linear in the word's
 length.  Decoding emits the labels of the arcs.
 """
 
@@ -21,19 +26,23 @@ from __future__ import annotations
 
 import json
 import struct
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gristmill.llm.common import freed
+
 #: The published pre-split pattern of this kind of vocabulary.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-#: Entries of a worker's table of encoded words, and of tested arcs; either is emptied when full.
-WORDS, ARCS = 500_000, 400_000
+#: Entries of a worker's table of encoded words, which is emptied when full.
+WORDS = 300_000
 NEVER = 1 << 40
 
 
@@ -63,17 +72,73 @@ def read_vocabulary(path: str) -> dict:
     return {"labels": labels, "merges": merges, "special": special}
 
 
+def live(merges: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int]]:
+    """(x, y, z, rank) of the merges that can fire: x then y is what the merges before make of their letters."""
+    gadgets: dict[int, dict[int, int]] = {}
+    #: Pieces on the left and right edges of made tokens, each with the rank at which it is merged away inside.
+    left: dict[int, list[tuple[int, int]]] = {}
+    right: dict[int, list[tuple[int, int]]] = {}
+    out, results = [], {z for _, _, z in merges}
+    for rank, (x, y, z) in enumerate(merges):
+        if any(t in results and t not in left for t in (x, y)):
+            continue  # a part that no merge before makes
+        inner_x = right.get(x) or [(x, rank)]
+        inner_y = left.get(y) or [(y, rank)]
+        dead = z in left
+        for a, a_end in inner_x:
+            row = gadgets.get(a)
+            if row:
+                for b, b_end in inner_y:
+                    k = row.get(b)
+                    if k is not None and k < a_end and k <= b_end:
+                        dead = True
+                        break
+            if dead:
+                break
+        if dead:
+            continue
+        gadgets.setdefault(x, {})[y] = rank
+        out.append((x, y, z, rank))
+        # Outermost first; a token itself is never merged away.
+        whole_x, whole_y = left.get(x) or [(x, NEVER)], right.get(y) or [(y, NEVER)]
+        left[z] = [(z, NEVER), (x, rank), *whole_x[1:]]
+        right[z] = [(z, NEVER), (y, rank), *whole_y[1:]]
+    return out
+
+
+class _Forest:
+    """Tokens below the token that is their left (0) or right (1) part, numbered depth first, parts of later merges before those of earlier ones."""
+
+    def __init__(self, made: dict[int, tuple[int, int, int]], side: int, size: int):
+        self.below: dict[int, list[tuple[int, int]]] = {}
+        for z, m in made.items():
+            self.below.setdefault(m[side], []).append((-m[2], z))
+        for row in self.below.values():
+            row.sort()
+        self.place, self.end, k = [0] * size, [0] * size, 0
+        stack = [t for t in range(size - 1, -1, -1) if t not in made]
+        while stack:
+            t = stack.pop()
+            if t < 0:
+                self.end[~t] = k
+                continue
+            self.place[t], k = k, k + 1
+            stack.append(~t)
+            stack += [z for _, z in reversed(self.below.get(t, []))]
+
+    def reach(self, part: int, rank: int, equal: bool) -> tuple[int, int]:
+        """Numbers of the tokens with this part on their edge, whole until after that rank (equal: or until it)."""
+        row = self.below.get(part, [])
+        i = bisect_right(row, (-rank, 1 << 60)) if equal else bisect_left(row, (-rank, -1))
+        return self.place[part], self.end[row[i - 1][1]] if i else self.place[part] + 1
+
+
 class Automaton:
     def __init__(self, vocabulary: dict):
         self.labels: list[bytes] = vocabulary["labels"]
         self.special: dict[str, int] = vocabulary["special"]
-        made: dict[int, tuple[int, int, int]] = {}
-        self.gadgets: dict[int, dict[int, int]] = {}
-        for rank, (x, y, z) in enumerate(vocabulary["merges"]):
-            self.gadgets.setdefault(x, {}).setdefault(y, rank)
-            made.setdefault(z, (x, y, rank))
-        self.made = made
-        self.edges: dict[int, list[tuple[int, int]]] = {}
+        merges = live(vocabulary["merges"])
+        made = {z: (x, y, rank) for x, y, z, rank in merges}
         # Byte trie of the labels that the merges can make: single bytes and merge results.
         self.next: dict[int, int] = {}
         self.label_at: list[int] = [-1]
@@ -89,48 +154,47 @@ class Automaton:
                     self.label_at.append(-1)
                 node = self.next[key]
             self.label_at[node] = t
-        self.arcs: dict[int, bool] = {}
-
-    def _edge(self, t: int, side: int) -> list[tuple[int, int]]:
-        """Pieces on the right (1) or left (0) edge of token t, each with the rank at which it is merged away inside t."""
-        key = t << 1 | side
-        pieces = self.edges.get(key)
-        if pieces is None:
-            pieces = [(t, NEVER)]
-            while t in self.made:
-                x = self.made[t]
-                t = x[side]
-                pieces.append((t, x[2]))
-            self.edges[key] = pieces
-        return pieces
+        self._compile(merges, made)
+
+    def _compile(self, merges: list[tuple[int, int, int, int]], made: dict[int, tuple[int, int, int]]) -> None:
+        """The table: from first[state], the ranges start[i] <= label < end[i] without an arc; states and labels by their forest's numbers."""
+        size = len(self.labels)
+        right, left = _Forest(made, 1, size), _Forest(made, 0, size)
+        self.state_at, self.arc_at = right.place, left.place
+        gadgets = [(*right.reach(x, rank, False), *left.reach(y, rank, True)) for x, y, _, rank in merges]
+        low, high, start, end = np.array(gadgets, np.int64).reshape(-1, 4).T
+        many = high - low
+        state = np.repeat(low - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum()) if len(many) else low
+        # One number line, a stretch of it for each state; overlapping ranges become one.
+        start, end = state * size + np.repeat(start, many), state * size + np.repeat(end, many)
+        order = np.argsort(start, kind="stable")
+        start, end = start[order], np.maximum.accumulate(end[order])
+        new = np.concatenate([[True], (start[1:] > end[:-1]) | (start[1:] // size > start[:-1] // size)]) if len(start) else np.empty(0, bool)
+        at = np.nonzero(new)[0]
+        end = np.maximum.reduceat(end, at) if len(at) else end
+        state = start[at] // size if len(at) else start
+        self.first = np.searchsorted(state, np.arange(size + 1)).tolist()
+        self.start, self.end = (memoryview((x - state * size).astype(np.uint32)) for x in (start[at], end))
 
     def arc(self, p: int, t: int) -> bool:
         """Whether the state of token p has an arc labelled t."""
-        key = p << 20 | t
-        known = self.arcs.get(key)
-        if known is None:
-            known, left = True, self._edge(t, 0)
-            for x, x_end in self._edge(p, 1):
-                row = self.gadgets.get(x)
-                if row:
-                    for y, y_end in left:
-                        k = row.get(y)
-                        if k is not None and k < x_end and k <= y_end:
-                            known = False
-                            break
-                    if not known:
-                        break
-            if len(self.arcs) >= ARCS:
-                self.arcs.clear()
-            self.arcs[key] = known
-        return known
+        s, label = self.state_at[p], self.arc_at[t]
+        low = self.first[s]
+        i = bisect_right(self.start, label, low, self.first[s + 1])
+        return i == low or self.end[i - 1] <= label
 
     def encode_word(self, word: bytes) -> list[int]:
         n = len(word)
         state = [-1] * (n + 1)
-        nxt, label_at, labels, arc, arcs = self.next, self.label_at, self.labels, self.arc, self.arcs
+        nxt, label_at, labels = self.next, self.label_at, self.labels
+        first, start, end, arc_at = self.first, self.start, self.end, self.arc_at
         for i in range(n):
-            p, node, j = state[i] if i else -1, 0, i
+            node, j, p = 0, i, state[i]
+            if i and p < 0:
+                continue
+            if i:
+                low = first[self.state_at[p]]
+                high = first[self.state_at[p] + 1]
             while j < n:
                 node = nxt.get(node << 8 | word[j])
                 if node is None:
@@ -138,12 +202,12 @@ class Automaton:
                 j += 1
                 t = label_at[node]
                 if t >= 0 and state[j] < 0:
-                    if p < 0:
-                        state[j] = t
-                    else:
-                        known = arcs.get(p << 20 | t)
-                        if known or (known is None and arc(p, t)):
-                            state[j] = t
+                    if i:
+                        label = arc_at[t]
+                        k = bisect_right(start, label, low, high)
+                        if k > low and end[k - 1] > label:
+                            continue
+                    state[j] = t
         out, j = [], n
         while j:
             out.append(state[j])
@@ -230,7 +294,7 @@ def _mapped(df: DataFrame, key: str, vocabulary, source: str, fields: list[T.Str
                 yield pa.RecordBatch.from_arrays([*part.columns, *new], names=[*part.schema.names, *(f.name for f in fields)])
                 start = stop
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(freed(run), schema)
 
 
 def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", n_tokens: str = "n_tokens") -> DataFrame:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import functools
+import gc
 import uuid
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,6 +38,23 @@ def shipped(query: Callable) -> Callable:
     return run
 
 
+def freed(run: Callable) -> Callable:
+    """run, a function of Arrow batches, and then the memory it has done with back to the system: idle workers keep the rest."""
+
+    @functools.wraps(run)
+    def tidy(batches):
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:
+                trim(0)
+
+    return tidy
+
+
 def cut(df: DataFrame, label: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back.
 

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import cut, discard, row_id, spread
+from gristmill.llm.common import cut, discard, freed, row_id, spread
 from gristmill.llm.components import components
 
 #: Words of a shingle, and bands and rows of a band.  At a similarity of 0.8 a
@@ -158,7 +158,7 @@ def sketches(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size:
                 start = stop
 
     keyed = docs.select(F.col(text).alias("text"), F.col(doc_id).cast("long").alias("doc_id"), row_id(doc_id, text).alias("r")).select("text", "doc_id", "r.a", "r.b")
-    return keyed.mapInArrow(run, "doc_id long, ra long, rb long, n_shingles long, digest binary, bands array<long>, sketch binary")
+    return keyed.mapInArrow(freed(run), "doc_id long, ra long, rb long, n_shingles long, digest binary, bands array<long>, sketch binary")
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, size: int = WORDS, percent: int = 80) -> DataFrame:
@@ -185,7 +185,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, size: int = WORDS, percent: in
                     keep.append(i)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), batch.column(1).take(pa.array(keep, pa.int64()))], names=["a", "b"])
 
-    return rows.mapInArrow(run, "a long, b long")
+    return rows.mapInArrow(freed(run), "a long, b long")
 
 
 def _pieces(total: int) -> Column:
@@ -286,7 +286,7 @@ def _likely(cells: DataFrame, spanning: bool, least: int) -> DataFrame:
             empty = np.empty(0, np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([empty, *z]), pa.int64()) for z in (left, right)], names=["a", "b"])
 
-    return cells.mapInArrow(run, "a long, b long").distinct()
+    return cells.mapInArrow(freed(run), "a long, b long").distinct()
 
 
 def _family_links(members: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
@@ -331,7 +331,7 @@ def _family_links(members: DataFrame, texts: DataFrame, size: int, percent: int)
             empty = np.empty(0, np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([empty, *z]), pa.int64()) for z in (left, right)], names=["a", "b"])
 
-    return cells.mapInArrow(run, "a long, b long").distinct()
+    return cells.mapInArrow(freed(run), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = WORDS, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import cut, discard, spread
+from gristmill.llm.common import cut, discard, freed, spread
 
 #: Labelled rows that learning reads at most (the rows of least hash).
 SAMPLE = 20_000
@@ -149,7 +149,7 @@ def learn(rows: DataFrame, seed: int = 0) -> Lexicon:
         return Lexicon()
     odds = F.log((F.col("t") + 0.5) / (n_t + 1)) - F.log((F.col("c") + 0.5) / (n_c + 1))
     least = max(MIN_ROWS, MIN_SHARE * n_t)
-    counted = sample.mapInArrow(_count_terms, "term string, t long, c long").groupBy("term").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
+    counted = sample.mapInArrow(freed(_count_terms), "term string, t long, c long").groupBy("term").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
     floor = min(MIN_ODDS, float(np.log((n_t / 2 + 0.5) / (n_t + 1)) - np.log(0.5 / (n_c + 1))))
     candidates = {r["term"]: (r["t"], r["odds"]) for r in counted.withColumn("odds", odds).where((F.col("odds") >= floor) & (F.col("t") >= least)).orderBy(F.desc("t"), F.desc("odds"), F.desc(F.length("term")), "term").limit(CANDIDATES).collect()}
     # Of beginnings that the same number of rows have, the longest says most.
@@ -185,7 +185,7 @@ def _cover(sample: DataFrame, terms: dict[str, tuple[int, float]], least: float)
             found = [sorted({i for _, i in matcher.iter(f)} if names and (f := fold(t)) else set()) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int32()))], names=["found"])
 
-    rows = [r[0] for r in sample.where("label = 1").select("text").mapInArrow(held, "found array<int>").collect()]
+    rows = [r[0] for r in sample.where("label = 1").select("text").mapInArrow(freed(held), "found array<int>").collect()]
     by_term: dict[int, set[int]] = defaultdict(set)
     for r, found in enumerate(rows):
         for i in found:
@@ -232,7 +232,7 @@ def _exceptions(sample: DataFrame, weights: dict[str, float], n_t: int, n_c: int
             yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array([toxic[t] for t in terms], pa.int64()), pa.array([clean[t] for t in terms], pa.int64())], names=["term", "t", "c"])
 
     odds = F.log((F.col("t") + 0.5) / (n_t + 1)) - F.log((F.col("c") + 0.5) / (n_c + 1))
-    counted = sample.mapInArrow(around, "term string, t long, c long").groupBy("term").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
+    counted = sample.mapInArrow(freed(around), "term string, t long, c long").groupBy("term").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
     return [r["term"] for r in counted.where((F.col("c") >= MIN_ROWS) & (odds < 0)).orderBy(F.desc("c"), "term").limit(EXCEPTIONS).collect()]
 
 
@@ -245,7 +245,7 @@ def _curve(sample: DataFrame, lexicon: Lexicon) -> tuple[float, float, float]:
             x = [features(matcher, fold(t)) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in x], pa.float64()), pa.array([b for _, b in x], pa.float64()), batch.column(1).cast(pa.float64())], names=["a", "b", "y"])
 
-    rows = np.array(sorted(tuple(r) for r in sample.mapInArrow(of, "a double, b double, y double").collect()))
+    rows = np.array(sorted(tuple(r) for r in sample.mapInArrow(freed(of), "a double, b double, y double").collect()))
     used = [0, 1]
     while True:
         x, y = np.column_stack([np.ones(len(rows)), rows[:, used]]), rows[:, 2]
@@ -279,7 +279,7 @@ def score(docs: DataFrame, lexicon: Lexicon, text: str = "text", out: str = "sco
 
     from pyspark.sql import types as T
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(out, T.DoubleType())]))
+    return docs.mapInArrow(freed(run), T.StructType([*docs.schema.fields, T.StructField(out, T.DoubleType())]))
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Lexicon:
