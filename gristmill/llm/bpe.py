@@ -338,6 +338,6 @@ def round_trip(df: DataFrame, path: str, text: str = "text") -> DataFrame:
 
 
 def digests(df: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens and the SHA-256 of ids and decoded text of documents."""
+    """doc_id, n_tokens and the SHA-256 of ids and decoded text of documents: one row for each, repeated rows included; null and empty texts have no ids."""
     out = round_trip(df.select("doc_id", "text"), path)
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))

@@ -66,7 +66,11 @@ def render(df: DataFrame, kept: DataFrame) -> DataFrame:
 
 
 def collapsed(df: DataFrame) -> DataFrame:
-    """conv_id, n_turns, n_copies, rendered of the maximal conversations."""
+    """conv_id, n_turns, n_copies, rendered of the maximal conversations.
+
+    Null roles and texts are empty, repeated turns count once, turns without
+    conv_id take no part; an empty table gives no rows.
+    """
     return render(df, maximal(df))
 
 

@@ -33,7 +33,7 @@ TOKEN = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
 NEEDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){11}", "phone": r"\+[0-9]"}
 #: Trust that a pattern needs for its kind, distinct known instances behind it.
 TRUST, SUPPORT = 0.8, 5
-#: Characters looked at on either side for context words.
+#: Characters looked at on either side for context words; of a longer word the nearest ones stand for it.
 NEAR = 60
 
 
@@ -168,7 +168,8 @@ def spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
 def masked(docs: DataFrame, found: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """docs with every span of `found` (rid, spans: by spans() of the same rows) replaced by its kind in brackets; where spans overlap, the earlier one counts.
 
-    Every row is masked by its own text's spans, whether its id is null or repeated.
+    Every row is masked by its own text's spans, whether its id is null or
+    repeated; null texts stay null, and equal rows stay as many as they are.
     """
     parts = F.transform(F.filter(F.split("_spans", ","), lambda s: s != ""), lambda s: F.split(s, ":"))
     cleared = F.aggregate(
@@ -186,6 +187,6 @@ def masked(docs: DataFrame, found: DataFrame, text: str = "text", doc_id: str =
 
 
 def digests(docs: DataFrame) -> DataFrame:
-    """spans() with the SHA-256 of the rules' spans in place of column base."""
+    """spans() with the SHA-256 of the rules' spans in place of column base: one row for each of docs, repeated rows, null ids and texts included."""
     out = spans(docs)
     return out.select("doc_id", *(f"n_{k}" for k in KINDS), F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans")

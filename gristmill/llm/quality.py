@@ -146,8 +146,12 @@ def combined(rows: DataFrame, classifier: Classifier, threshold: float = 0.5) ->
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Classifier:
-    """Classifier of documents by labels (doc_id, quality), from rows whose crc32 of the id, modulo 5, is not 0."""
-    known = labels.where("quality in (0, 1) and doc_id is not null").select("doc_id", F.col("quality").cast("int").alias("label")).where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0).dropDuplicates(["doc_id"])
+    """Classifier of documents by labels (doc_id, quality), from rows whose crc32 of the id, modulo 5, is not 0.
+
+    An id that has both labels counts as poor; labels without id, and other
+    values than 0 and 1, take no part.
+    """
+    known = labels.where("quality in (0, 1) and doc_id is not null").where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0).groupBy("doc_id").agg(F.min(F.col("quality").cast("int")).alias("label"))
     n = known.count()
     if n > SAMPLE:
         known = known.where(F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(2**32)) < int(SAMPLE / n * 2**32))
@@ -156,6 +160,11 @@ def train(docs: DataFrame, labels: DataFrame) -> Classifier:
 
 
 def scored(docs: DataFrame, labels: DataFrame, host: Column, path: Column) -> DataFrame:
-    """combined() of every row of docs, with a classifier trained on labels.  An empty table gives no rows."""
+    """combined() of every row of docs, with a classifier trained on labels.
+
+    Ids are numbers.  Repeated rows and rows without id are documents of their
+    own; null and empty texts have the features of no words; null hosts and paths
+    are one site.  An empty table gives no rows.
+    """
     classifier = train(docs, labels)
     return combined(cut(evidence(docs, classifier, host, path), "evidence"), classifier)

@@ -206,5 +206,5 @@ def classified(found: DataFrame, forest: RandomForestClassificationModel, thresh
 
 
 def scan(docs: DataFrame, path: str | None = None, forest: RandomForestClassificationModel | None = None) -> DataFrame:
-    """doc_id, start, end, secret, score, is_secret of every candidate.  Documents without candidates, null and empty texts give no rows."""
+    """doc_id, start, end, secret, score, is_secret of every candidate.  Documents without candidates, null and empty texts give no rows; rows that repeat give theirs again."""
     return classified(findings(docs, path=path), forest or train(docs.sparkSession))

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -27,11 +28,11 @@ from gristmill.llm.common import cut, discard, freed, spread
 
 #: Labelled rows that learning reads at most (the rows of least hash).
 SAMPLE = 20_000
-#: Lengths of word beginnings, candidates for the lexicon, and its final size at most.
+#: Lengths of word beginnings; what bounds the lexicon learned from those rows: its candidates (the most frequent), terms and exceptions at most.
 SHORTEST, LONGEST, CANDIDATES, TERMS, EXCEPTIONS = 3, 10, 4000, 600, 2000
-#: A term needs this log odds; it must newly explain this share of toxic rows, and this many.
 #: Terms that a worker counts before it hands the counts on.
 HELD = 250_000
+#: A term needs this log odds; it must newly explain this share of toxic rows, and this many.
 MIN_ODDS, MIN_SHARE, MIN_ROWS = 2.0, 0.004, 3
 
 #: Letters of other scripts that look like Latin ones.
@@ -92,9 +93,11 @@ def matches(matcher, folded: str) -> dict[int, tuple[float, int]]:
                 spared.append((start, end))
             elif weight > hits.get(start, (0.0, 0))[0]:
                 hits[start] = (weight, length)
-    for a, b in spared:
-        for start in [s for s in hits if a <= s < b]:
-            del hits[start]
+    if spared:
+        places = sorted(hits)
+        for a, b in spared:
+            for k in range(bisect_left(places, a), bisect_left(places, b)):
+                hits.pop(places[k], None)
     return hits
 
 
@@ -134,7 +137,8 @@ def _counts(toxic: Counter, clean: Counter) -> pa.RecordBatch:
 def learn(rows: DataFrame, seed: int = 0) -> Lexicon:
     """A lexicon from rows (doc_id, text, label 0/1); reads SAMPLE rows at most, those of least hash.
 
-    Exact copies count once.  Without rows of both labels the lexicon is empty
+    Exact copies count once, as toxic if one of them is; null and empty texts count
+    as texts without words.  Without rows of both labels the lexicon is empty
     and every score is low.
     """
     rows = rows.where("label in (0, 1)")
@@ -142,7 +146,7 @@ def learn(rows: DataFrame, seed: int = 0) -> Lexicon:
     if n > SAMPLE:
         part = int(SAMPLE / n * 2**32)
         rows = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(2**32)) < part)
-    sample = cut(spread(rows.select("text", "label").dropDuplicates(["text"])), "toxic")
+    sample = cut(spread(rows.groupBy("text").agg(F.max("label").alias("label"))), "toxic")
     sizes = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
     n_t, n_c = sizes.get(1, 0), sizes.get(0, 0)
     if not n_t or not n_c:
@@ -221,12 +225,14 @@ def _exceptions(sample: DataFrame, weights: dict[str, float], n_t: int, n_c: int
             for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 f, seen = fold(text), set()
                 for start in matches(matcher, f):
-                    before, after = f[max(0, start - 60) : start].split(), f[start : start + 120].split()
-                    seen.add(after[0])
-                    if len(after) > 2:
-                        seen.add(f"{after[0]} {after[1]}")
-                    if len(before) > 1:
-                        seen.add(f"{before[-1]} {after[0]}")
+                    # Every word stands between two spaces.
+                    end = f.index(" ", start + 1)
+                    second = f.find(" ", end + 1)
+                    seen.add(f[start + 1 : end])
+                    if second > 0:
+                        seen.add(f[start + 1 : second])
+                    if start:
+                        seen.add(f[f.rindex(" ", 0, start) + 1 : end])
                 (toxic if label else clean).update(seen)
             terms = list(toxic | clean)
             yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array([toxic[t] for t in terms], pa.int64()), pa.array([clean[t] for t in terms], pa.int64())], names=["term", "t", "c"])
@@ -283,8 +289,12 @@ def score(docs: DataFrame, lexicon: Lexicon, text: str = "text", out: str = "sco
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Lexicon:
-    """Lexicon of documents (doc_id, text) by labels (doc_id, toxic), from the rows of in_training()."""
-    known = labels.where("toxic in (0, 1) and doc_id is not null").select("doc_id", F.col("toxic").cast("int").alias("label")).where(in_training(F.col("doc_id"))).dropDuplicates(["doc_id"])
+    """Lexicon of documents (doc_id, text) by labels (doc_id, toxic), from the rows of in_training().
+
+    An id that has both labels counts as toxic; labels without id, and other
+    values than 0 and 1, take no part.  Empty tables give an empty lexicon.
+    """
+    known = labels.where("toxic in (0, 1) and doc_id is not null").where(in_training(F.col("doc_id"))).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("label"))
     n = known.count()
     if n > SAMPLE:  # before the join, so that no more text moves than is read
         known = known.where(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(2**32)) < int(SAMPLE / n * 2**32))
@@ -293,7 +303,12 @@ def train(docs: DataFrame, labels: DataFrame) -> Lexicon:
 
 
 def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score, predicted for every row of documents."""
+    """doc_id, held_out, score, predicted for every row of documents.
+
+    Repeated rows are rows of their own; null and empty texts have the score of a
+    text without matches; rows without id are never held out.  An empty table
+    gives no rows.
+    """
     lexicon = train(docs, labels)
     out = score(spread(docs.select("doc_id", "text")), lexicon)
     return out.select("doc_id", F.coalesce(~in_training(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
