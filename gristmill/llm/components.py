@@ -16,13 +16,14 @@ from gristmill.llm.common import cut, discard
 def _large_star(edges: DataFrame) -> DataFrame:
     """Every vertex's larger neighbours are linked to the least of itself and its neighbours; the result has v < u."""
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+    # Written first: a vertex with many neighbours then meets its minimum in a join that can be split.
+    least = cut(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "least")
     return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Every vertex and its smaller neighbours are linked to the least of those; edges must have v < u."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
+    least = cut(edges.groupBy("u").agg(F.min("v").alias("m")), "least")
     out = edges.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
     return out.where("u <> v").distinct()
 
