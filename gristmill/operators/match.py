@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -78,28 +80,44 @@ def dot(a: str, b: str) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda acc, v: acc + v)
 
 
-def nearest(chunks: DataFrame, queries: DataFrame, k: int, doc: str, group: str, vector: str, max_queries: int = 1000) -> DataFrame:
+def _cell_nearest(left: pd.DataFrame, right: pd.DataFrame, k: int) -> pd.DataFrame:
+    """The k documents nearest to each query among one cell's chunks."""
+    out: list[tuple] = []
+    if len(left) and len(right):
+        left = left.sort_values("doc", kind="stable")
+        x, docs, groups = np.stack(left["v"].to_numpy()).astype(float), left["doc"].to_numpy(), left["g"].to_numpy()
+        x = x / np.sqrt((x * x).sum(axis=1))[:, None]
+        first = np.nonzero(np.concatenate([[True], docs[1:] != docs[:-1]]))[0]
+        for query, rows in right.groupby("query", sort=False):
+            v = np.stack(rows["v"].to_numpy()).astype(float)
+            far = 1 - (v / np.sqrt((v * v).sum(axis=1))[:, None]) @ x.T
+            far[rows["qg"].to_numpy()[:, None] == groups[None, :]] = np.inf
+            best = np.minimum.reduceat(far.min(axis=0), first)
+            best[docs[first] == query] = np.inf
+            order = np.lexsort((docs[first], best))[:k]
+            out += [(query, docs[first[i]], best[i]) for i in order if np.isfinite(best[i])]
+    return pd.DataFrame(out, columns=["query", "doc", "distance"])
+
+
+def nearest(chunks: DataFrame, queries: DataFrame, k: int, doc: str, group: str, vector: str, max_queries: int = 4096) -> DataFrame:
     """query, doc, distance, rank: the k documents of another group nearest to each query document, by the least cosine distance of their chunks.
 
-    queries: the same columns.  Up to max_queries chunk rows are broadcast; more
-    meet the chunks in a grid of cells (shard, block of queries) of bounded size.
-    Ties go to the smaller doc.
+    queries: the same columns.  Queries and chunks meet in a grid of cells
+    (shard, block of queries) of bounded size, in which distances are products of
+    matrices and k documents a query are kept; all chunks of a document lie in
+    one shard.  Null vectors, documents and groups take no part; zero vectors are
+    near nothing.  Ties go to the smaller doc.
     """
-    norm = lambda c: F.sqrt(dot(c, c))
-    d = chunks.select(F.col(doc).alias("doc"), F.col(group).alias("g"), F.col(vector).alias("v"), norm(vector).alias("nv"))
-    q = queries.select(F.col(doc).alias("query"), F.col(group).alias("qg"), F.col(vector).alias("qv"), norm(vector).alias("nq"))
-    other = (F.col("doc") != F.col("query")) & (F.col("g") != F.col("qg"))
-    if queries.limit(max_queries + 1).count() <= max_queries:
-        pairs = d.join(F.broadcast(q), other)
-    else:
-        blocks, shards = math.ceil(queries.count() / max_queries), math.ceil(chunks.count() / SHARD_ROWS)
-        place = lambda n, *c: F.pmod(F.xxhash64(*c), F.lit(n))
-        every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")))
-        d = d.withColumn("shard", place(shards, "doc", "v")).withColumn("block", every(blocks))
-        q = q.withColumn("block", place(blocks, "query", "qv")).withColumn("shard", every(shards))
-        cell = (d["shard"] == q["shard"]) & (d["block"] == q["block"])
-        pairs = d.join(q, cell & other)
-    best = pairs.groupBy("query", "doc").agg(F.min(1 - dot("v", "qv") / (F.col("nv") * F.col("nq"))).alias("distance"))
+    named = lambda df, *names: df.select(F.col(doc).alias(names[0]), F.col(group).alias(names[1]), F.col(vector).alias("v")).dropna().where(dot("v", "v") > 0)
+    d, q = named(chunks, "doc", "g"), named(queries, "query", "qg")
+    blocks, shards = max(1, math.ceil(queries.count() / max_queries)), max(1, math.ceil(chunks.count() / SHARD_ROWS))
+    place = lambda n, c: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    d = d.withColumn("shard", place(shards, "doc")).withColumn("block", every(blocks))
+    q = q.withColumn("block", place(blocks, "query")).withColumn("shard", every(shards))
+    ids = dict(q.dtypes)["query"]
+    cell = lambda left, right: _cell_nearest(left, right, k)
+    best = d.groupBy("shard", "block").cogroup(q.groupBy("shard", "block")).applyInPandas(cell, f"query {ids}, doc {dict(d.dtypes)['doc']}, distance double")
     w = Window.partitionBy("query").orderBy("distance", "doc")
     return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 

@@ -107,11 +107,27 @@ def effective_salary(tiers: list[tuple[str, str, str, str]]) -> Column:
     return out
 
 
+def quantiles(df: DataFrame, dims: list[str], amount: str, steps: list[float]) -> DataFrame:
+    """dims, n, quantiles: exact, between neighbouring values in proportion; null amounts take no part.
+
+    Equal amounts are one row with a count, and the places come from running
+    sums of counts, so that no group's values have to fit in one buffer.
+    """
+    rows = df.where(F.col(amount).isNotNull()).groupBy(*dims, F.col(amount).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    run = Window.partitionBy(*dims).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("_end", F.sum("_c").over(run)).withColumn("n", F.sum("_c").over(Window.partitionBy(*dims)))
+    held = lambda place: (F.col("_end") > place) & (F.col("_end") - F.col("_c") <= place)
+    at = [(F.col("n") - 1) * x for x in steps]
+    low = [F.max(F.when(held(F.floor(p)), F.col("_v"))).alias(f"_l{i}") for i, p in enumerate(at)]
+    high = [F.max(F.when(held(F.ceil(p)), F.col("_v"))).alias(f"_h{i}") for i, p in enumerate(at)]
+    out = rows.groupBy(*dims, "n").agg(*low, *high)
+    between = lambda i, p: F.when(F.floor(p) == F.ceil(p), F.col(f"_l{i}")).otherwise((F.ceil(p) - p) * F.col(f"_l{i}") + (p - F.floor(p)) * F.col(f"_h{i}"))
+    return out.select(*dims, "n", F.array(*(between(i, p) for i, p in enumerate(at))).alias("quantiles"))
+
+
 def salary_bands(df: DataFrame, dims: list[str], amount: str, min_sample: int = 5) -> DataFrame:
     """dims, n, p25, p50, p75, quantiles (5 % to 95 % by 5): exact; groups below min_sample are left out."""
-    steps = [i / 100 for i in range(5, 100, 5)]
-    q = F.percentile(F.col(amount).cast("double"), F.array(*(F.lit(x) for x in steps)))
-    out = df.where(F.col(amount).isNotNull()).groupBy(*dims).agg(F.count(F.lit(1)).alias("n"), q.alias("quantiles")).where(F.col("n") >= min_sample)
+    out = quantiles(df, dims, amount, [i / 100 for i in range(5, 100, 5)]).where(F.col("n") >= min_sample)
     return out.select(*dims, "n", *(F.col("quantiles")[i].alias(f"p{p}") for i, p in ((4, 25), (9, 50), (14, 75))), "quantiles")
 
 

@@ -9,6 +9,7 @@ from gristmill.functions import times
 from gristmill.operators import evidence, match, mining, resolve, sampling
 from gristmill.plans.frames import POSTINGS, SKILLS, WITH_COUNTRY, postings, skills, with_country
 from gristmill.plans.registry import query
+from gristmill.session import ship
 from gristmill.sources.tables import table
 
 
@@ -48,12 +49,12 @@ def _(spark, sf):
     return resolve.twins(agg.select("id", "company", "title", "countries"), ats.select("id", "company", "title", "countries"))
 
 
-DOC_TOKENS = """d AS (SELECT doc_id, lang, list_distinct(list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda w: len(w) > 3)) AS t FROM documents WHERE n_chars < 1500), x AS (SELECT doc_id, lang, len(t) AS n, unnest(t) AS w FROM d)"""
+DOC_TOKENS = """d AS (SELECT doc_id, lang, list_distinct(list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda w: len(w) > 3)) AS t FROM documents), x AS (SELECT doc_id, lang, len(t) AS n, unnest(t) AS w FROM d)"""
 
 
 @query("dedup_similar_pairs", f"""WITH {DOC_TOKENS} SELECT a.doc_id AS a, b.doc_id AS b, round(count(*) / (any_value(a.n) + any_value(b.n) - count(*)), 6) AS similarity FROM x a JOIN x b ON a.lang = b.lang AND a.w = b.w AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id HAVING count(*) / (any_value(a.n) + any_value(b.n) - count(*)) >= 0.7""")
 def _(spark, sf):
-    d = table(spark, sf, "documents").where("n_chars < 1500").select("doc_id", "lang", tx.signature(F.col("text")).alias("t"))
+    d = table(spark, sf, "documents").select("doc_id", "lang", tx.signature(F.col("text")).alias("t"))
     return resolve.similar_pairs(d, "doc_id", ["lang"], "t", 0.7).withColumn("similarity", F.round("similarity", 6))
 
 
@@ -64,13 +65,13 @@ def _(spark, sf):
     return resolve.fuzzy_collapse(table(spark, sf, "documents").select("doc_id", "source", "lang", "text"), "doc_id", "source", "lang", "text", 0.8, 200).select("doc_id", "judged", "duplicate_of_fuzzy")
 
 
-@query("dedup_summaries", """WITH d AS (SELECT l_orderkey AS id, l_orderkey % 2 AS company, list_sort(list(DISTINCT p_brand)) AS t, list(DISTINCT p_type) AS tw FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_orderkey < 3000 GROUP BY l_orderkey), x AS (SELECT id, company, tw, len(t) AS n, unnest(t) AS w FROM d),
-p AS (SELECT a.id AS short, b.id AS "full", count(*) AS s, any_value(a.n) AS n, any_value(b.n) AS n2, any_value(a.tw) AS tw, any_value(b.tw) AS tw2 FROM x a JOIN x b ON a.company = b.company AND a.w = b.w AND a.n <= b.n * 0.6 GROUP BY a.id, b.id), k AS (SELECT short, "full", count(*) OVER (PARTITION BY short) AS c FROM p WHERE s >= 3 AND s >= n * 0.8 AND list_has_any(tw, tw2))
+@query("dedup_summaries", """WITH d AS (SELECT doc_id AS id, source AS company, list_distinct(list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda w: len(w) > 3)) AS t, string_split(lower(text), ' ')[1:12] AS tw FROM documents), x AS (SELECT id, company, tw, len(t) AS n, unnest(t) AS w FROM d),
+p AS (SELECT a.id AS short, b.id AS "full", count(*) AS s, any_value(a.n) AS n, any_value(a.tw) AS tw, any_value(b.tw) AS tw2 FROM x a JOIN x b ON a.company = b.company AND a.w = b.w AND a.n <= b.n * 0.6 GROUP BY a.id, b.id), k AS (SELECT short, "full", count(*) OVER (PARTITION BY short) AS c FROM p WHERE s >= 25 AND s >= n * 0.5 AND list_has_any(tw, tw2))
 SELECT short, "full" FROM k WHERE c = 1""")
 def _(spark, sf):
-    li, pa = table(spark, sf, "lineitem").where("l_orderkey < 3000"), table(spark, sf, "part")
-    d = li.join(pa, li.l_partkey == pa.p_partkey).groupBy(F.col("l_orderkey").alias("id")).agg(F.collect_set("p_brand").alias("t"), F.collect_set("p_type").alias("tw")).withColumn("company", F.col("id") % 2)
-    return resolve.summaries(d, "id", "company", "t", "tw", least=3)
+    """Half of the tokens instead of the default 0.8: the documents hold few summaries."""
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("company"), tx.signature(F.col("text")).alias("t"), F.slice(F.split(F.lower("text"), " "), 1, 12).alias("tw"))
+    return resolve.summaries(d, "id", "company", "t", "tw", share=0.5)
 
 
 @query("dedup_effective", f"""WITH {POSTINGS} SELECT id, coalesce(CASE WHEN id % 5 = 0 THEN id - 2 END, CASE WHEN id % 3 = 0 THEN id - 1 END, CASE WHEN id % 2 = 0 THEN id - 3 END) AS duplicate_of FROM p""")
@@ -89,10 +90,13 @@ def _(spark, sf):
     return resolve.applied_verdict(old, verdict, "id", "marker")
 
 
-@query("dedup_clusters", """WITH RECURSIVE e AS (SELECT vec_id AS a, vec_id + 7 AS b FROM embeddings WHERE vec_id % 3 <> 0 AND vec_id + 7 < 500), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT DISTINCT a AS id, a AS v FROM u UNION SELECT r.id, u.b FROM r JOIN u ON r.v = u.a) SELECT id, min(v) AS cluster FROM r GROUP BY id""")
+@query("dedup_clusters", """WITH RECURSIVE p AS (SELECT p_partkey AS id, p_brand, list_distinct(string_split(lower(p_name || ' ' || p_type), ' ')) AS t FROM part), x AS (SELECT id, p_brand, len(t) AS n, unnest(t) AS w FROM p),
+e AS (SELECT a.id AS a, b.id AS b FROM x a JOIN x b ON a.p_brand = b.p_brand AND a.w = b.w AND a.id < b.id GROUP BY a.id, b.id HAVING count(*) / (any_value(a.n) + any_value(b.n) - count(*)) >= 0.4),
+u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT DISTINCT a AS id, a AS v FROM u UNION SELECT r.id, u.b FROM r JOIN u ON r.v = u.a) SELECT id, min(v) AS cluster FROM r GROUP BY id""")
 def _(spark, sf):
-    e = table(spark, sf, "embeddings").where("vec_id % 3 <> 0 and vec_id + 7 < 500").select(F.col("vec_id").alias("a"), (F.col("vec_id") + 7).alias("b"))
-    return resolve.clusters(e)
+    """Clusters of a brand's parts whose words have a Jaccard similarity of 0.4."""
+    p = table(spark, sf, "part").select("p_partkey", "p_brand", F.array_distinct(F.split(F.lower(F.concat_ws(" ", "p_name", "p_type")), " ")).alias("t"))
+    return resolve.clusters(resolve.similar_pairs(p, "p_partkey", ["p_brand"], "t", 0.4).select("a", "b"))
 
 
 @query("company_merge", "WITH o AS (SELECT CASE WHEN o_custkey % 10 = 3 THEN o_custkey - 3 ELSE o_custkey END AS company FROM orders) SELECT company, count(*) AS n FROM o GROUP BY company")
@@ -145,11 +149,12 @@ def _(spark, sf):
     return match.coverage_gaps(skills(spark, sf), ["Brand#1", "Brand#2"], 10)
 
 
-@query("vector_nearest", """WITH q AS (SELECT vec_id AS query, label AS ql, embedding AS qe FROM embeddings WHERE vec_id % 100 = 0), d AS (SELECT query, vec_id AS doc, 1 - list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(qe AS DOUBLE[])) AS distance FROM q JOIN embeddings ON label <> ql AND vec_id <> query),
+@query("vector_nearest", """WITH q AS (SELECT vec_id AS query, label AS ql, embedding AS qe FROM embeddings WHERE vec_id % 50 = 0), d AS (SELECT query, vec_id AS doc, 1 - list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(qe AS DOUBLE[])) AS distance FROM q JOIN embeddings ON label <> ql AND vec_id <> query),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query ORDER BY distance, doc) AS INTEGER) AS rank FROM d) SELECT query, doc, round(distance, 6) AS distance, rank FROM r WHERE rank <= 10""")
 def _(spark, sf):
+    ship(spark)
     e = table(spark, sf, "embeddings")
-    return match.nearest(e, e.where("vec_id % 100 = 0"), 10, "vec_id", "label", "embedding").withColumn("distance", F.round("distance", 6))
+    return match.nearest(e, e.where("vec_id % 50 = 0"), 10, "vec_id", "label", "embedding").withColumn("distance", F.round("distance", 6))
 
 
 @query("reality_class", """WITH j AS (SELECT event_id, date_diff('day', ts - to_days(CAST(event_id % 120 AS INTEGER)), TIMESTAMP '2024-01-31') AS dummy, floor(epoch(TIMESTAMP '2024-01-31' - (ts - to_days(CAST(event_id % 120 AS INTEGER)))) / 86400) AS age, floor(epoch(TIMESTAMP '2024-01-31' - ts) / 86400) AS said, event_id % 9 AS rep, event_id % 7 AS mass, event_id % 11 = 0 AS ev FROM events),
@@ -247,9 +252,9 @@ def _(spark, sf):
     return p.select("p_partkey", mining.relevance(p, "Blue rong", {"p_name": 2.0}).alias("score"))
 
 
-@query("demand_pruning", "WITH q AS (SELECT user_id AS q, count(*) AS n, max(ts) AS last FROM events WHERE event_id % 60 = 0 GROUP BY 1) SELECT q, n FROM q WHERE NOT (n = 1 AND last < TIMESTAMP '2024-01-15')")
+@query("demand_pruning", "WITH q AS (SELECT user_id || ' ' || strftime(ts, '%H') AS q, count(*) AS n, max(ts) AS last FROM events GROUP BY 1) SELECT q, n FROM q WHERE NOT (n = 1 AND last < TIMESTAMP '2024-01-15')")
 def _(spark, sf):
-    q = table(spark, sf, "events").where("event_id % 60 = 0").groupBy(F.col("user_id").alias("q")).agg(F.count(F.lit(1)).alias("n"), F.max("ts").alias("last"))
+    q = table(spark, sf, "events").groupBy(F.concat(F.col("user_id").cast("string"), F.lit(" "), F.date_format("ts", "HH")).alias("q")).agg(F.count(F.lit(1)).alias("n"), F.max("ts").alias("last"))
     return mining.prune_demand(q, "n", "last", F.lit("2024-01-15").cast("timestamp")).select("q", "n")
 
 
@@ -316,7 +321,7 @@ def _(spark, sf):
     return table(spark, sf, "orders").where(c).select("o_orderkey")
 
 
-@query("timestamps_parsed", """WITH t AS (SELECT event_id, date_trunc('second', ts) AS ts FROM events WHERE event_id % 10 < 7) SELECT event_id, CASE event_id % 10 WHEN 6 THEN NULL WHEN 3 THEN strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S') ELSE strftime(ts, '%Y-%m-%d %H:%M:%S') END AS at FROM t""")
+@query("timestamps_parsed", """WITH t AS (SELECT event_id, date_trunc('second', ts) AS ts FROM events) SELECT event_id, CASE WHEN event_id % 10 >= 6 THEN NULL WHEN event_id % 10 = 3 THEN strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S') ELSE strftime(ts, '%Y-%m-%d %H:%M:%S') END AS at FROM t""")
 def _(spark, sf):
     k, ts = F.col("event_id") % 10, F.date_trunc("second", "ts")
     f = lambda p: F.date_format(ts, p)
@@ -324,12 +329,12 @@ def _(spark, sf):
         F.when(k == 0, f("yyyy-MM-dd'T'HH:mm:ssXXX")).when(k == 1, f("yyyy-MM-dd'T'HH:mm:ssXX")).when(k == 2, f("yyyy-MM-dd HH:mm:ss")).when(k == 3, f("yyyy-MM-dd"))
         .when(k == 4, F.unix_seconds(ts).cast("string")).when(k == 5, F.concat(f("EEE, dd MMM yyyy HH:mm:ss"), F.lit(" GMT"))).otherwise("next week")
     )
-    return table(spark, sf, "events").where(k < 7).select("event_id", F.date_format(times.parsed(text), "yyyy-MM-dd HH:mm:ss").alias("at"))
+    return table(spark, sf, "events").select("event_id", F.date_format(times.parsed(text), "yyyy-MM-dd HH:mm:ss").alias("at"))
 
 
-@query("listing_fingerprint", "SELECT o_custkey, sha256(string_agg(k || chr(0), '' ORDER BY k)) AS fp FROM (SELECT DISTINCT o_custkey, CAST(o_orderkey AS VARCHAR) AS k FROM orders WHERE o_custkey < 400) GROUP BY o_custkey")
+@query("listing_fingerprint", "SELECT o_custkey, sha256(string_agg(k || chr(0), '' ORDER BY k)) AS fp FROM (SELECT DISTINCT o_custkey, CAST(o_orderkey AS VARCHAR) AS k FROM orders) GROUP BY o_custkey")
 def _(spark, sf):
-    o = table(spark, sf, "orders").where("o_custkey < 400").groupBy("o_custkey").agg(F.collect_list(F.col("o_orderkey").cast("string")).alias("ids"))
+    o = table(spark, sf, "orders").groupBy("o_custkey").agg(F.collect_list(F.col("o_orderkey").cast("string")).alias("ids"))
     return o.select("o_custkey", tx.listing_fingerprint(F.col("ids")).alias("fp"))
 
 

@@ -88,10 +88,10 @@ def _(spark, sf):
     return intervals.slices(_visits(spark, sf), 45).groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("interval_weekly", """WITH d AS (SELECT CAST(unnest(generate_series(TIMESTAMP '2024-03-25', TIMESTAMP '2024-04-07', INTERVAL 1 DAY)) AS DATE) AS day), r AS (SELECT c_custkey AS key, c_custkey % 5 + 1 AS weekday, 9 AS f, 12 + c_custkey % 3 AS t FROM customer WHERE c_custkey < 50)
+@query("interval_weekly", """WITH d AS (SELECT CAST(unnest(generate_series(TIMESTAMP '2024-03-25', TIMESTAMP '2024-04-07', INTERVAL 1 DAY)) AS DATE) AS day), r AS (SELECT c_custkey AS key, c_custkey % 5 + 1 AS weekday, 9 AS f, 12 + c_custkey % 3 AS t FROM customer)
 SELECT key, strftime(CAST(day AS TIMESTAMP) + to_hours(f - 1), '%Y-%m-%d %H:%M') AS start, strftime(CAST(day AS TIMESTAMP) + to_hours(CAST(t - 1 AS INTEGER)), '%Y-%m-%d %H:%M') AS "end" FROM r JOIN d ON isodow(day) = weekday WHERE NOT (key % 7 = 0 AND day = DATE '2024-04-01') UNION ALL SELECT key, '2024-04-01 13:00', '2024-04-01 15:00' FROM r WHERE key % 14 = 0""")
 def _(spark, sf):
-    c = table(spark, sf, "customer").where("c_custkey < 50")
+    c = table(spark, sf, "customer")
     k = F.col("c_custkey")
     rules = c.select(k.alias("key"), (k % 5 + 1).cast("int").alias("weekday"), F.lit(9).alias("from_hour"), (12 + k % 3).cast("int").alias("to_hour"), F.lit("+01:00").alias("zone"))
     day = F.lit("2024-04-01").cast("date")
@@ -118,10 +118,10 @@ def _(spark, sf):
     return rows.groupBy(F.col("day").cast("string").alias("day"), "event_type").agg(F.count(F.lit(1)).alias("uniques"))
 
 
-@query("stream_sliding", """WITH w AS (SELECT unnest(generate_series(time_bucket(INTERVAL 1 MINUTE, ts) - INTERVAL 9 MINUTE, time_bucket(INTERVAL 1 MINUTE, ts), INTERVAL 1 MINUTE)) AS start, event_id FROM events WHERE event_id < 500) SELECT strftime(start, '%Y-%m-%d %H:%M') AS start, count(*) AS n, CAST(sum(event_id % 10) AS BIGINT) AS total FROM w GROUP BY 1""")
+@query("stream_sliding", """WITH w AS (SELECT unnest(generate_series(time_bucket(INTERVAL 1 MINUTE, ts) - INTERVAL 9 MINUTE, time_bucket(INTERVAL 1 MINUTE, ts), INTERVAL 1 MINUTE)) AS start, event_id FROM events) SELECT strftime(start, '%Y-%m-%d %H:%M') AS start, count(*) AS n, CAST(sum(event_id % 10) AS BIGINT) AS total FROM w GROUP BY 1""")
 def _(spark, sf):
     path = _scratch(spark)
-    s = queues.stream(spark, f"{sf}/events.parque[t]", spark.read.parquet(f"{sf}/events.parquet").schema).where("event_id < 500").select(F.col("ts").cast("timestamp").alias("ts"), "event_id")
+    s = queues.stream(spark, f"{sf}/events.parque[t]", spark.read.parquet(f"{sf}/events.parquet").schema).select(F.col("ts").cast("timestamp").alias("ts"), "event_id")
     # Complete mode: every window's last state, late windows included.
     queues.drain(queues.sliding(s, "ts", F.col("event_id") % 10), f"{path}/cp", lambda b, i: b.write.mode("overwrite").parquet(f"{path}/out"), "complete")
     return spark.read.parquet(f"{path}/out").select(F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), "n", "total")
@@ -183,10 +183,10 @@ def _(spark, sf):
     return queues.requeued_owners(o.where("o_orderstatus = 'P'").select("id"), roots, "id", F.lit("2024-02-01").cast("timestamp")).select("root")
 
 
-@query("feed_grouped", """WITH b AS (SELECT event_id, user_id, event_type || CAST(event_id % 40 AS VARCHAR) AS t FROM events WHERE event_id < 400), n AS (SELECT *, count(*) OVER (PARTITION BY t) AS nt FROM b), r AS (SELECT *, sum(CASE WHEN nt < 5 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id) AS nr FROM n), g AS (SELECT event_id, CASE WHEN nt >= 5 THEN 'title:' || t WHEN nr >= 5 THEN 'company:' || user_id ELSE 'one:' || event_id END AS grp FROM r)
+@query("feed_grouped", """WITH b AS (SELECT event_id, user_id, event_type || CAST(event_id % 40 AS VARCHAR) AS t FROM events), n AS (SELECT *, count(*) OVER (PARTITION BY t) AS nt FROM b), r AS (SELECT *, sum(CASE WHEN nt < 5 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id) AS nr FROM n), g AS (SELECT event_id, CASE WHEN nt >= 5 THEN 'title:' || t WHEN nr >= 5 THEN 'company:' || user_id ELSE 'one:' || event_id END AS grp FROM r)
 SELECT event_id, grp, min(event_id) OVER (PARTITION BY grp) AS first FROM g""")
 def _(spark, sf):
-    b = table(spark, sf, "events").where("event_id < 400")
+    b = table(spark, sf, "events")
     return queues.grouped_feed(b, "event_id", F.concat("event_type", (F.col("event_id") % 40).cast("string")), "user_id")
 
 
@@ -202,10 +202,10 @@ def _(spark, sf):
     return queues.replay(table(spark, sf, "events").select("event_id"), "event_id", 64)
 
 
-@query("webhook_cursor", "WITH c AS (SELECT c_custkey AS consumer, c_custkey % 9 AS cursor, CAST(c_custkey % 4 AS INTEGER) AS failures FROM customer WHERE c_custkey < 300) SELECT consumer, CASE WHEN consumer % 3 = 0 THEN greatest(5, cursor) ELSE cursor END AS cursor, CASE consumer % 3 WHEN 0 THEN 0 WHEN 1 THEN failures + 1 ELSE failures END AS failures, CASE consumer % 3 WHEN 0 THEN false WHEN 1 THEN failures + 1 >= 3 ELSE failures >= 3 END AS disabled FROM c")
+@query("webhook_cursor", "WITH c AS (SELECT c_custkey AS consumer, c_custkey % 9 AS cursor, CAST(c_custkey % 4 AS INTEGER) AS failures FROM customer) SELECT consumer, CASE WHEN consumer % 3 = 0 THEN greatest(5, cursor) ELSE cursor END AS cursor, CASE consumer % 3 WHEN 0 THEN 0 WHEN 1 THEN failures + 1 ELSE failures END AS failures, CASE consumer % 3 WHEN 0 THEN false WHEN 1 THEN failures + 1 >= 3 ELSE failures >= 3 END AS disabled FROM c")
 def _(spark, sf):
     k = F.col("c_custkey")
-    c = table(spark, sf, "customer").where("c_custkey < 300").select(k.alias("consumer"), (k % 9).alias("cursor"), (k % 4).cast("int").alias("failures"), F.lit(False).alias("disabled"))
+    c = table(spark, sf, "customer").select(k.alias("consumer"), (k % 9).alias("cursor"), (k % 4).cast("int").alias("failures"), F.lit(False).alias("disabled"))
     d = c.where("consumer % 3 <> 2").select("consumer", (F.col("consumer") % 3 == 0).alias("ok"), F.lit(5).cast("long").alias("cursor"))
     return queues.cursor_step(c, d, 3)
 

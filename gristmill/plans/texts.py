@@ -83,11 +83,15 @@ def _(spark, sf):
     return table(spark, sf, "part").select("p_partkey", F.url_encode(F.concat("p_name", F.lit(" &ü"))).alias("encoded"), tx.literal_query(quoted).alias("query"))
 
 
-@query("text_entities", "SELECT page_id, 'a<b ' || chr(233) || ' & ' || chr(8364) || page_id AS t, 'Strasse cafe' AS ascii FROM pages")
+@query("text_entities")
 def _(spark, sf):
+    """Whole pages with their references decoded, and whole texts in ASCII; no SQL has either, tests compare with Python."""
     ship(spark)
-    raw = F.concat(F.lit("a&lt;b &#233; &amp; &#x20AC;"), F.col("page_id").cast("string"))
-    return table(spark, sf, "pages").select("page_id", arrow.entities(raw).alias("t"), arrow.transliterated(F.concat(F.lit("Straße café"), F.substring("url", 1, 0))).alias("ascii"))
+    t, d = table(spark, sf, "pages"), table(spark, sf, "documents")
+    md5 = lambda c: F.md5(c.cast("binary"))
+    pages = t.select(F.lit("page").alias("kind"), F.col("page_id").alias("id"), arrow.entities(F.col("html")).alias("t"))
+    texts = d.select(F.lit("text").alias("kind"), F.col("doc_id").alias("id"), arrow.transliterated(F.col("text")).alias("t"))
+    return pages.unionByName(texts).select("kind", "id", F.length("t").alias("n_chars"), md5(F.col("t")).alias("md5"))
 
 
 @query("text_chunks")
@@ -104,12 +108,12 @@ def _(spark, sf):
     return d.groupBy("lang", "guess").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("text_optional_masked", "SELECT doc_id, 'Must:' || chr(10) || 'SQL' AS kept, CAST(39 AS BIGINT) AS n FROM documents")
+@query("text_optional_masked", "SELECT doc_id, sha256('Must:' || chr(10) || 'SQL' || chr(10) || repeat(' ', 12) || chr(10) || repeat(' ', 5) || chr(10) || 'Benefits:' || chr(10) || text) AS sha256, CAST(39 + length(text) AS BIGINT) AS n FROM documents")
 def _(spark, sf):
+    """Whole texts with sections in front, of which one is optional."""
     ship(spark)
-    t = F.concat(F.lit("Must:\nSQL\nNice to have\nScala\nBenefits:\n"), F.substring("text", 1, 0))
-    m = arrow.without_optional(t)
-    return table(spark, sf, "documents").select("doc_id", F.trim(F.regexp_replace(F.regexp_replace(m, r"Benefits:\n", ""), r"\s+$", "")).alias("kept"), F.length(m).cast("long").alias("n"))
+    m = arrow.without_optional(F.concat(F.lit("Must:\nSQL\nNice to have\nScala\nBenefits:\n"), "text"))
+    return table(spark, sf, "documents").select("doc_id", F.sha2(m.cast("binary"), 256).alias("sha256"), F.length(m).cast("long").alias("n"))
 
 
 @query("list_records", "SELECT DISTINCT p_brand AS name, replace(lower(p_brand), '#', '-') AS slug FROM part")
@@ -184,7 +188,7 @@ def _(spark, sf):
     return table(spark, sf, "part").select(F.col("p_size").alias("n")).distinct().select("n", F.round(min_cosine(F.lit(60), F.col("n"), F.lit(5)), 9).alias("least"))
 
 
-@query("salary_lateral", "SELECT l_orderkey, l_linenumber, tier FROM lineitem, LATERAL (SELECT CASE WHEN l_quantity > 40 THEN 'a' WHEN l_quantity > 20 THEN 'b' ELSE 'c' END AS tier) WHERE l_orderkey < 500")
+@query("salary_lateral", "SELECT l_orderkey, l_linenumber, tier FROM lineitem, LATERAL (SELECT CASE WHEN l_quantity > 40 THEN 'a' WHEN l_quantity > 20 THEN 'b' ELSE 'c' END AS tier)")
 def _(spark, sf):
     table(spark, sf, "lineitem").createOrReplaceTempView("gm_lineitem")
-    return spark.sql("SELECT l_orderkey, l_linenumber, tier FROM gm_lineitem, LATERAL (SELECT CASE WHEN l_quantity > 40 THEN 'a' WHEN l_quantity > 20 THEN 'b' ELSE 'c' END AS tier) WHERE l_orderkey < 500")
+    return spark.sql("SELECT l_orderkey, l_linenumber, tier FROM gm_lineitem, LATERAL (SELECT CASE WHEN l_quantity > 40 THEN 'a' WHEN l_quantity > 20 THEN 'b' ELSE 'c' END AS tier)")
