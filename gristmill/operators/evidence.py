@@ -5,18 +5,38 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gristmill.functions.text import plain_text
 from gristmill.functions.times import whole_days
 
 #: Days of silence allowed at each stage.
 SILENCE = {"applied": 21, "screening": 18, "interview": 15, "test": 12, "offer": 5}
 
 
-def liveness(status: Column, url: Column, body: Column, gone: str = r"no longer (?:available|accepting)|position (?:has been )?filled|job (?:has )?expired", listing: str = r"/jobs/?$|/careers/?$", least: int = 300) -> Column:
-    """expired, uncertain or live from an HTTP answer: 404 and 410 first, then other failures, then marks in URL and body, then length."""
-    low = F.lower(F.coalesce(body, F.lit("")))
-    return (
-        F.when(status.isin(404, 410), "expired").when(~status.between(200, 299), "uncertain").when(F.lower(url).rlike(listing), "expired").when(low.rlike(gone), "expired").when(F.length(low) < least, "expired").otherwise("live")
+#: What a page says when its posting is closed, what a list of postings says, and the mark of an error in an address.
+CLOSED = (
+    r"job (is )?no longer available", r"job.*no longer open", r"position has been filled", r"this job has expired", r"job posting has expired", r"no longer accepting applications",
+    r"this (position|role|job) (is )?no longer", r"this job (listing )?is closed", r"this job post is closed", r"the job ad is no longer active", r"job (listing )?not found",
+    r"the page you are looking for doesn.t exist", r"applications?\s+(?:(?:have|are|is)\s+)?closed", r"diese stelle (ist )?(nicht mehr|bereits) besetzt", r"offre (expirée|n'est plus disponible)",
+    r"ваканси\S* (в архиве|закрыта|неактивна)",
+)
+LISTING = (r"\d+\s+jobs?\s+found", r"search for jobs page is loaded")
+ERROR_URL = r"[?&]error=true"
+
+
+def liveness(status: Column, url: Column, body: Column, least: int = 300) -> Column:
+    """Struct (verdict, reason) of an answer: expired, uncertain or live; only expired ones have a reason.
+
+    404 and 410 are gone; other failures (null too) are uncertain.  Of successful
+    answers the address of an error, a closed posting's words, a list of postings
+    and fewer than `least` characters of visible text count, in this order.
+    """
+    text = F.coalesce(body, F.lit(""))
+    says = lambda c, *patterns: F.coalesce(c, F.lit("")).rlike("(?iu)" + "|".join(patterns))
+    reason = (
+        F.when(status.isin(404, 410), "http_gone").when(~F.coalesce(status.between(200, 299), F.lit(False)), "").when(says(url, ERROR_URL), "expired_url").when(says(text, *CLOSED), "expired_body")
+        .when(says(text, *LISTING), "listing_page").when(F.length(plain_text(text)) < least, "insufficient_content")
     )
+    return F.struct(F.when(reason == "", "uncertain").when(reason.isNull(), "live").otherwise("expired").alias("verdict"), F.nullif(reason, F.lit("")).alias("reason"))
 
 
 def reality(created: Column, posted: Column, reposts: Column, mass: Column, evergreen_text: Column, now: Column) -> Column:

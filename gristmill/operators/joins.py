@@ -6,15 +6,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def asof(left: DataFrame, right: DataFrame, on_left: str, on_right: str, take: list[str], by: list[str] | None = None, slices: int = 64) -> DataFrame:
+def asof(left: DataFrame, right: DataFrame, on_left: str, on_right: str, take: list[str], by: list[str] | None = None, slices: int | None = None) -> DataFrame:
     """left with on_right and the columns take of the last row of right whose on_right is not after on_left; null where there is none.
 
     One union and a running last value, no pairs.  Without by the running value
     would need one partition: the rows are cut into ranges of the key, and each
-    range starts from the last right row before it (one row a range).
+    range starts from the last right row before it (one row a range).  There are
+    `slices` ranges, or 64 and one more for each million right rows.  Of right rows
+    that share the key the largest counts, compared by the columns take in order.
     """
     rkeys = F.struct(F.col(on_right), *take)
-    marks = right.where(F.col(on_right).isNotNull()).groupBy(*(by or []), on_right).agg(*(F.max(c).alias(c) for c in take))
+    marks = right.where(F.col(on_right).isNotNull()).groupBy(*(by or []), on_right).agg(F.max(F.struct(*take)).alias("_t")).select(*(by or []), on_right, *(F.col("_t").getField(c).alias(c) for c in take))
     l_cols = left.columns
     a = left.withColumn("_k", F.col(on_left)).withColumn("_r", F.lit(None).cast(marks.select(rkeys.alias("r")).schema["r"].dataType)).withColumn("_side", F.lit(1))
     b = marks.select(*(by or []), F.col(on_right).alias("_k"), rkeys.alias("_r"), F.lit(0).alias("_side"))
@@ -24,11 +26,12 @@ def asof(left: DataFrame, right: DataFrame, on_left: str, on_right: str, take: l
         filled = rows.withColumn("_last", F.last("_r", ignorenulls=True).over(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
     else:
         # Cut points from the (distinct) right keys, by quantiles: at most `slices` numbers.
+        slices = slices or min(4096, 64 + right.count() // 1_000_000)
         points = marks.select(F.percentile_approx(F.col(on_right), F.array(*(F.lit(i / slices) for i in range(1, slices))), F.lit(1000)).alias("p")).first()["p"] or []
         cuts = sorted(set(points))
-        piece = sum(((F.col("_k") >= F.lit(c)).cast("int") for c in cuts), F.lit(0))
+        piece = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: F.col("_k") >= c)) if cuts else F.lit(0)
         rows = rows.withColumn("_piece", piece)
-        ends = b.withColumn("_piece", sum(((F.col("_k") >= F.lit(c)).cast("int") for c in cuts), F.lit(0))).groupBy("_piece").agg(F.max("_r").alias("_end"))
+        ends = b.withColumn("_piece", piece).groupBy("_piece").agg(F.max("_r").alias("_end"))
         carry = ends.withColumn("_carry", F.last("_end", ignorenulls=True).over(Window.orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)))  # a row a piece
         last = F.last("_r", ignorenulls=True).over(Window.partitionBy("_piece").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
         filled = rows.withColumn("_last", last).join(F.broadcast(carry.select("_piece", "_carry")), "_piece", "left").withColumn("_last", F.coalesce("_last", "_carry"))

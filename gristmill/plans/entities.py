@@ -185,13 +185,22 @@ def _(spark, sf):
     return out.withColumn("level", evidence.ghost_level(F.col("job_id") % 10 == 0, F.col("silent"), F.col("reports"), F.col("contributors")))
 
 
-@query("liveness", """WITH j AS (SELECT [200, 404, 500, 200, 301, 410][page_id % 6 + 1] AS status, url, CASE WHEN page_id % 9 = 0 THEN 'This position has been filled.' || html WHEN page_id % 9 = 1 THEN 'short' ELSE html END AS body FROM pages)
-SELECT CASE WHEN status IN (404, 410) THEN 'expired' WHEN status NOT BETWEEN 200 AND 299 THEN 'uncertain' WHEN regexp_matches(lower(url), '/jobs/?$|/careers/?$') THEN 'expired' WHEN regexp_matches(lower(body), 'no longer (?:available|accepting)|position (?:has been )?filled|job (?:has )?expired') THEN 'expired' WHEN length(body) < 300 THEN 'expired' ELSE 'live' END AS state, count(*) AS n FROM j GROUP BY 1""")
+#: What pages say, by the remainder of their number, and the reason that follows from it.
+SAID = ("This position has been filled.", "12 jobs found", "this role is no longer open to you", "Sorry, applications are closed", "Diese Stelle ist bereits besetzt", "we listen to our clients", "Вакансия закрыта", "the job ad is no longer active", "search for jobs", "")
+
+
+@query("liveness", f"""WITH j AS (SELECT [200, 404, 500, 200, 301, 410, 204][page_id % 7 + 1] AS status, CASE WHEN page_id % 11 = 0 THEN url || '&error=true' ELSE url END AS url, page_id % 11 = 0 AS err, page_id % 10 AS said, page_id % 13 = 0 AS shell FROM pages),
+r AS (SELECT CASE WHEN status IN (404, 410) THEN 'http_gone' WHEN status NOT BETWEEN 200 AND 299 THEN '' WHEN err AND regexp_matches(url, '[?&]error=true') THEN 'expired_url' WHEN said IN (0, 2, 3, 4, 6, 7) THEN 'expired_body' WHEN said = 1 THEN 'listing_page' WHEN shell THEN 'insufficient_content' END AS reason FROM j)
+SELECT CASE WHEN reason = '' THEN 'uncertain' WHEN reason IS NULL THEN 'live' ELSE 'expired' END AS verdict, nullif(reason, '') AS reason, count(*) AS n FROM r GROUP BY ALL""")
 def _(spark, sf):
+    """Shells have a long head without visible text; other pages have their own text behind what they say."""
     k = F.col("page_id")
-    status = F.element_at(F.array(*(F.lit(s) for s in (200, 404, 500, 200, 301, 410))), (k % 6 + 1).cast("int"))
-    body = F.when(k % 9 == 0, F.concat(F.lit("This position has been filled."), "html")).when(k % 9 == 1, "short").otherwise(F.col("html"))
-    return table(spark, sf, "pages").select(evidence.liveness(status, F.col("url"), body).alias("state")).groupBy("state").agg(F.count(F.lit(1)).alias("n"))
+    of = lambda values, n: F.element_at(F.array(*map(F.lit, values)), (k % n + 1).cast("int"))
+    shell = F.concat(F.lit("<script>"), F.repeat(F.lit("x = 1; "), F.lit(200)), F.lit("</script>"))
+    body = F.concat(F.lit("<p>"), of(SAID, 10), F.lit("</p>"), F.when(k % 13 == 0, shell).otherwise(F.concat("html", F.lit("<p>"), F.repeat(F.lit("more words "), F.lit(40)))))
+    url = F.when(k % 11 == 0, F.concat("url", F.lit("&error=true"))).otherwise(F.col("url"))
+    live = evidence.liveness(of((200, 404, 500, 200, 301, 410, 204), 7), url, body)
+    return table(spark, sf, "pages").select(live.alias("l")).groupBy("l.verdict", "l.reason").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("stage_counts", "SELECT count(*) FILTER (WHERE event_type IN ('view', 'click')) AS open, count(*) FILTER (WHERE event_type = 'purchase') AS won, count(*) FILTER (WHERE event_type IN ('error')) AS lost FROM events")
@@ -338,10 +347,23 @@ def _(spark, sf):
     return o.select("o_custkey", tx.listing_fingerprint(F.col("ids")).alias("fp"))
 
 
-@query("education_experience", """WITH t AS (SELECT doc_id, [ 'PhD or Master''s needed', '3-5 years of Java', 'no experience required', '25 years old; 2+ yrs', 'no degree required', 'our client seeks 10 years' ][doc_id % 6 + 1] AS t FROM documents)
-SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'phd' WHEN 4 THEN 'none' END AS level, CASE doc_id % 6 WHEN 1 THEN 3 WHEN 2 THEN 0 WHEN 3 THEN 2 WHEN 5 THEN 10 END AS years, CASE WHEN doc_id % 6 = 5 THEN true END AS recruiter FROM t""")
+#: Sentences with the level, the years and the intermediary that they state.
+STATED = (
+    ("PhD or Master's needed", "phd", None, None), ("3 to 5 years of Java", None, 3, None), ("no experience required", None, 0, None), ("25 years old; 2+ yrs", None, 2, None),
+    ("no degree required", "none", None, None), ("our client is seeking 10 years", None, 10, True), ("we listen to our client", None, None, None), ("30 years in trade, graduate degree", "master", 30, None),
+    ("No experience is required with Go, 60 years", None, None, None), ("doctoral student, 4-yr plan", "phd", None, None), ("Work without a degree on behalf of our valued client", "none", None, True),
+    ("Needs: 7 years\nNice to have:\n1 year of Rust, PhD\nOffer:\nmoney", None, 7, None), ("bachelor’s or equivalent; no degree required", "bachelor", None, None),
+)
+
+
+def _cases(i: int) -> str:
+    show = lambda v: "NULL" if v is None else repr(v)
+    return " ".join(f"WHEN {k} THEN {show(row[i])}" for k, row in enumerate(STATED))
+
+
+@query("education_experience", f"SELECT doc_id, CASE doc_id % {len(STATED)} {_cases(1)} END AS level, CAST(CASE doc_id % {len(STATED)} {_cases(2)} END AS INTEGER) AS years, CAST(CASE doc_id % {len(STATED)} {_cases(3)} END AS BOOLEAN) AS recruiter FROM documents")
 def _(spark, sf):
-    t = F.element_at(F.array(*(F.lit(s) for s in ("PhD or Master's needed", "3-5 years of Java", "no experience required", "25 years old; 2+ yrs", "no degree required", "our client seeks 10 years"))), (F.col("doc_id") % 6 + 1).cast("int"))
+    t = F.element_at(F.array(*(F.lit(row[0]) for row in STATED)), (F.col("doc_id") % len(STATED) + 1).cast("int"))
     return table(spark, sf, "documents").select("doc_id", tx.education_level(t).alias("level"), tx.experience_years(t).alias("years"), tx.via_recruiter(t).alias("recruiter"))
 
 

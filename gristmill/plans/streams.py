@@ -28,8 +28,8 @@ LINES = "l AS (SELECT *, '/jobs/' || CAST(event_id % 20 AS VARCHAR) AS path FROM
 
 def _lines(spark, sf):
     k = F.col("event_id")
-    path = F.when(k % 4 == 3, F.concat(F.lit("/api/jobs/"), (k % 20).cast("string"))).otherwise(F.concat(F.lit("/jobs/"), (k % 20).cast("string"), F.when(k % 3 == 0, "?utm=1").otherwise("")))
-    agent = F.when(k % 10 == 0, "Googlebot/2.1").otherwise("Mozilla/5.0")
+    path = F.when(k % 4 == 3, F.concat(F.lit("/api/v1/jobs/"), (k % 20).cast("string"))).otherwise(F.concat(F.lit("/jobs/"), (k % 20).cast("string"), F.when(k % 3 == 0, "?utm=1").when(k % 3 == 1, "/__data.json").otherwise(""), F.when(k % 17 == 0, "/similar").otherwise("")))
+    agent = F.when(k % 10 == 0, "Googlebot/2.1").when(k % 10 == 1, "CUBOT_X30").when(k % 10 == 2, "somebot").otherwise("Mozilla/5.0")
     status = F.when(k % 7 == 0, "404").otherwise("200")
     line = F.concat(
         F.lit("10.0.0."), F.col("user_id").cast("string"), F.lit(" - - ["), F.date_format("ts", "dd/MMM/yyyy:HH:mm:ss"), F.lit(' +0000] "GET '), path, F.lit(' HTTP/1.1" '), status, F.lit(' 512 "-" "'), agent, F.lit('"'), F.when(k % 13 == 0, ' "prefetch"').otherwise(""),
@@ -37,13 +37,15 @@ def _lines(spark, sf):
     return table(spark, sf, "events").select(F.when(k % 50 == 49, "garbage").otherwise(line).alias("value"))
 
 
-@query("log_uniques", """WITH v AS (SELECT CAST(ts AS DATE) AS day, CAST(event_id % 20 AS VARCHAR) AS slug, user_id, event_id % 4 <> 3 AND event_id % 10 <> 0 AS page FROM events WHERE event_id % 50 <> 49 AND event_id % 7 <> 0 AND event_id % 13 <> 0)
-SELECT CAST(day AS VARCHAR) AS day, slug, count(DISTINCT user_id) AS uniques, count(DISTINCT CASE WHEN page THEN user_id END) AS page_uniques FROM v GROUP BY ALL""")
+@query("log_uniques", """WITH v AS (SELECT CAST(ts AS DATE) AS day, CAST(event_id % 20 AS VARCHAR) AS slug, user_id || ' ' || CASE event_id % 10 WHEN 0 THEN 'g' WHEN 1 THEN 'c' WHEN 2 THEN 's' ELSE 'm' END AS who, event_id % 4 <> 3 AND event_id % 10 NOT IN (0, 2) AS page, event_id % 4 <> 3 AS open, event_id % 10 IN (0, 2) AS bot
+FROM events WHERE event_id % 50 <> 49 AND event_id % 7 <> 0 AND event_id % 13 <> 0 AND (event_id % 17 <> 0 OR event_id % 4 = 3 OR event_id % 3 = 0))
+SELECT CAST(day AS VARCHAR) AS day, slug, count(DISTINCT who) AS uniques, count(DISTINCT CASE WHEN page THEN who END) AS page_uniques FROM v WHERE NOT (open AND bot) GROUP BY ALL""")
 def _(spark, sf):
     parsed = logs.parse_access(_lines(spark, sf))
-    seen = parsed.withColumn("v", logs.viewed(F.col("method"), F.col("path"), F.col("status"), F.col("purpose"))).where("v is not null").select("ip", "at", "agent", F.col("v.kind").alias("kind"), F.col("v.slug").alias("slug"))
-    page = (F.col("kind") == "page") & ~logs.is_bot(F.col("agent"))
-    return logs.daily_viewers(seen, F.to_date("at"), "slug", "ip", page).withColumn("day", F.col("day").cast("string"))
+    seen = parsed.withColumn("v", logs.viewed(F.col("method"), F.col("path"), F.col("status"), F.col("purpose"))).where("v is not null").select(logs.visitor(F.col("ip"), F.col("agent")).alias("who"), "at", "agent", F.col("v.kind").alias("kind"), F.col("v.slug").alias("slug"))
+    # A crawler's pages are no views at all; reads of the API count whoever reads.
+    seen = seen.where((F.col("kind") == "api") | ~logs.is_bot(F.col("agent")))
+    return logs.daily_viewers(seen, F.to_date("at"), "slug", "who", F.col("kind") == "page").withColumn("day", F.col("day").cast("string"))
 
 
 @query("log_array_uniques", "WITH v AS (SELECT DISTINCT CAST(ts AS DATE) AS day, user_id, unnest([event_id % 9, event_id % 5, event_id % 9]) AS id FROM events) SELECT CAST(day AS VARCHAR) AS day, id, count(*) AS uniques FROM v GROUP BY ALL")

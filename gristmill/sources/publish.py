@@ -1,7 +1,7 @@
 """Sinks that readers never see half written.
 
-A version is a folder of its own; a small pointer file, written last, names the
-current one.  All file access goes through Hadoop's file systems, so paths can be
+A version is a folder of its own; a small numbered pointer file, written last,
+names the current one.  All file access goes through Hadoop's file systems, so paths can be
 in any store that Spark reads.
 """
 
@@ -21,15 +21,23 @@ def _fs(spark: SparkSession, path: str):
 
 
 def _write_text(spark: SparkSession, path: str, text: str) -> None:
-    """The file replaces an older one by a rename."""
+    """A new file, there whole or not at all: written beside its place and renamed.  A file that is there already is an error."""
     fs, p = _fs(spark, path)
-    _, tmp = _fs(spark, f"{path}.{uuid.uuid4().hex}")
+    folder, name = path.rsplit("/", 1)
+    _, tmp = _fs(spark, f"{folder}/.{name}.{uuid.uuid4().hex}")
     out = fs.create(tmp)
     out.write(bytearray(text.encode()))
     out.close()
-    if fs.exists(p):
-        fs.delete(p, False)
-    fs.rename(tmp, p)
+    if fs.exists(p) or not fs.rename(tmp, p):
+        fs.delete(tmp, False)
+        raise FileExistsError(path)
+
+
+def _pointers(spark: SparkSession, path: str) -> list[str]:
+    """Names of the pointer files, newest last."""
+    fs, p = _fs(spark, path)
+    names = [f.getPath().getName() for f in fs.listStatus(p)] if fs.exists(p) else []
+    return sorted(n for n in names if n.startswith("current-") and n.endswith(".json"))
 
 
 def read_text(spark: SparkSession, path: str) -> str | None:
@@ -40,24 +48,35 @@ def read_text(spark: SparkSession, path: str) -> str | None:
 
 
 def publish(df: DataFrame, path: str, keep: int = 2) -> str:
-    """Write df as a new version below path and make it the current one; versions beyond `keep` are deleted."""
+    """Write df as a new version below path and make it the current one; versions beyond `keep` are deleted.
+
+    Pointers are numbered and the newest counts, so there is always one to read;
+    of two that publish at once one fails.
+    """
     spark = df.sparkSession
-    previous = json.loads(read_text(spark, f"{path}/current.json") or '{"versions": []}')["versions"]
-    version = f"v-{len(previous):06d}-{uuid.uuid4().hex[:8]}"
+    pointers = _pointers(spark, path)
+    before = json.loads(read_text(spark, f"{path}/{pointers[-1]}"))["versions"] if pointers else []
+    number = int(pointers[-1][8:-5]) + 1 if pointers else 0
+    version = f"v-{number:08d}-{uuid.uuid4().hex[:8]}"
     df.write.parquet(f"{path}/{version}")
-    versions = [*previous, version]
-    _write_text(spark, f"{path}/current.json", json.dumps({"current": version, "versions": versions[-keep:]}))
-    for old in versions[:-keep]:
+    versions = [*before, version]
+    _write_text(spark, f"{path}/current-{number:08d}.json", json.dumps({"current": version, "versions": versions[-keep:]}))
+    for old in [*versions[:-keep], *pointers[:-1]]:
         fs, p = _fs(spark, f"{path}/{old}")
         fs.delete(p, True)
     return version
 
 
 def current(spark: SparkSession, path: str) -> DataFrame:
-    found = read_text(spark, f"{path}/current.json")
-    if found is None:
-        raise FileNotFoundError(f"nothing is published at {path}")
-    return spark.read.parquet(f"{path}/{json.loads(found)['current']}")
+    """The newest version; a pointer that is removed while it is looked at is looked for again."""
+    for _ in range(5):
+        pointers = _pointers(spark, path)
+        found = read_text(spark, f"{path}/{pointers[-1]}") if pointers else None
+        if found is not None:
+            return spark.read.parquet(f"{path}/{json.loads(found)['current']}")
+        if not pointers:
+            break
+    raise FileNotFoundError(f"nothing is published at {path}")
 
 
 def export_day(df: DataFrame, path: str, day: str, key: str) -> dict:
