@@ -247,3 +247,13 @@ def _(spark, sf):
 
     held = F.array(*(F.lit(f"Brand#{i}") for i in range(1, 7)))
     return skills(spark, sf).select("id", match_percent(F.col("skills"), held).alias("percent")).where("percent >= 50")
+
+
+@query("filter_open_guard", f"""WITH {POSTINGS}, d AS (SELECT id, category, CASE WHEN id % 5 <> 0 THEN closed IS NOT NULL END AS is_closed, CASE WHEN id % 7 <> 0 THEN duplicate_of IS NOT NULL END AS is_duplicate FROM p)
+SELECT category, count(*) AS n FROM d WHERE category IN ('1-URGENT', '5-LOW') AND coalesce(is_closed, false) = false AND coalesce(is_duplicate, false) = false GROUP BY category""")
+def _(spark, sf):
+    """Documents without a marker pass the guard."""
+    k = F.col("id")
+    d = postings(spark, sf).select("id", "category", F.when(k % 5 != 0, F.col("closed").isNotNull()).alias("is_closed"), F.when(k % 7 != 0, F.col("duplicate_of").isNotNull()).alias("is_duplicate"))
+    spec = SearchSpec(include={"category": ["1-URGENT", "5-LOW"]}, groups=filters.open_only([]))
+    return filters.search(d, spec).groupBy("category").agg(F.count(F.lit(1)).alias("n"))

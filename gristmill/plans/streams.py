@@ -11,6 +11,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from gristmill.operators import intervals, sampling
+from gristmill.plans.frames import POSTINGS, postings
 from gristmill.plans.registry import query
 from gristmill.session import scratch_dir
 from gristmill.sources import logs
@@ -232,3 +233,16 @@ def _(spark, sf):
     o = table(spark, sf, "orders")
     n = sampling.estimated_rows(o.where("o_orderstatus = 'F'"))
     return o.where("o_orderstatus = 'F'").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("o_custkey").alias("customers")).withColumn("estimate", F.lit(n).cast("long"))
+
+
+@query("queue_taken", f"""WITH {POSTINGS}, q AS (SELECT DISTINCT event_id * 3 AS job_id, ts AS created_at FROM events), c AS (SELECT job_id FROM q ORDER BY created_at, job_id LIMIT 500)
+SELECT 'shown' AS part, count(*) AS n, CAST(sum(job_id) AS BIGINT) AS ids FROM c JOIN p ON p.id = job_id WHERE closed IS NULL AND duplicate_of IS NULL AND NOT is_private UNION ALL SELECT 'left', count(*), CAST(sum(job_id) AS BIGINT) FROM q WHERE job_id NOT IN (SELECT job_id FROM c)""")
+def _(spark, sf):
+    """The feed's oldest 500 entries leave the queue; those that are listed are shown."""
+    from gristmill.functions.predicates import listed
+
+    q = table(spark, sf, "events").select((F.col("event_id") * 3).alias("job_id"), F.col("ts").alias("created_at"))
+    oldest, rest = queues.taken(q, 500)
+    shown = oldest.join(postings(spark, sf).where(F.col("closed").isNull() & listed()).select(F.col("id").alias("job_id")), "job_id")
+    part = lambda df, name: df.agg(F.count(F.lit(1)).alias("n"), F.sum("job_id").alias("ids")).select(F.lit(name).alias("part"), "n", "ids")
+    return part(shown, "shown").unionByName(part(rest, "left"))

@@ -192,3 +192,19 @@ def _(spark, sf):
 def _(spark, sf):
     table(spark, sf, "lineitem").createOrReplaceTempView("gm_lineitem")
     return spark.sql("SELECT l_orderkey, l_linenumber, tier FROM gm_lineitem, LATERAL (SELECT CASE WHEN l_quantity > 40 THEN 'a' WHEN l_quantity > 20 THEN 'b' ELSE 'c' END AS tier)")
+
+
+@query("term_folds", """WITH t AS (SELECT p_partkey, p_name || CASE p_partkey % 4 WHEN 0 THEN ' & Ёлка' WHEN 1 THEN '-' || p_type WHEN 2 THEN '__' || p_brand ELSE repeat(' long word', 12) END AS t FROM part),
+f AS (SELECT p_partkey, trim(regexp_replace(regexp_replace(replace(replace(lower(t), 'ё', 'е'), '&', ' and '), '[-_]+', ' ', 'g'), '\\s+', ' ', 'g')) AS f FROM t) SELECT p_partkey, CASE WHEN length(f) BETWEEN 1 AND 80 THEN f END AS term FROM f""")
+def _(spark, sf):
+    k = F.col("p_partkey") % 4
+    t = F.concat("p_name", F.when(k == 0, F.lit(" & Ёлка")).when(k == 1, F.concat(F.lit("-"), "p_type")).when(k == 2, F.concat(F.lit("__"), "p_brand")).otherwise(F.repeat(F.lit(" long word"), F.lit(12))))
+    return table(spark, sf, "part").select("p_partkey", tx.fold_term(t).alias("term"))
+
+
+@query("token_jaccard", """WITH t AS (SELECT p_partkey, list_distinct(string_split(lower(p_name), ' ')) AS a, CASE WHEN p_partkey % 5 = 0 THEN [] ELSE list_distinct(string_split(lower(p_name || ' ' || p_type), ' ')) END AS b FROM part)
+SELECT p_partkey, CASE WHEN len(a) = 0 OR len(b) = 0 THEN 0.0 ELSE round(len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))), 9) END AS similarity, NOT (len(list_filter(a, lambda w: w NOT IN ('blue', 'rong', 'the'))) = 0) AS offered FROM t""")
+def _(spark, sf):
+    a = F.array_distinct(F.split(F.lower("p_name"), " "))
+    b = F.when(F.col("p_partkey") % 5 == 0, F.array().cast("array<string>")).otherwise(F.array_distinct(F.split(F.lower(F.concat_ws(" ", "p_name", "p_type")), " ")))
+    return table(spark, sf, "part").select("p_partkey", F.round(tx.jaccard(a, b), 9).alias("similarity"), tx.offerable(F.lower("p_name"), ["blue", "rong", "the"]).alias("offered"))

@@ -38,6 +38,12 @@ def claim(queue: DataFrame, now: Column, lease_minutes: int, n: int) -> DataFram
     return queue.where(F.col("failed_at").isNull() & free).orderBy("id").limit(n)
 
 
+def taken(queue: DataFrame, n: int, key: str = "job_id", at: str = "created_at") -> tuple[DataFrame, DataFrame]:
+    """The n oldest entries, which leave the queue for good, and the queue without them: no lease, nothing to retry."""
+    oldest = queue.orderBy(at, key).limit(n)
+    return oldest, queue.join(oldest.select(key), key, "left_anti")
+
+
 def retried(queue: DataFrame, failed: DataFrame, now: Column, most: int) -> DataFrame:
     """The queue after failures (id, error): an attempt more, the lease given back, and dead at the last attempt."""
     out = queue.join(failed.select("id", F.col("error").alias("_e")), "id", "left")
