@@ -96,7 +96,7 @@ u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT DISTINCT a AS i
 def _(spark, sf):
     """Clusters of a brand's parts whose words have a Jaccard similarity of 0.4."""
     p = table(spark, sf, "part").select("p_partkey", "p_brand", F.array_distinct(F.split(F.lower(F.concat_ws(" ", "p_name", "p_type")), " ")).alias("t"))
-    return resolve.clusters(resolve.similar_pairs(p, "p_partkey", ["p_brand"], "t", 0.4).select("a", "b"))
+    return resolve.similar_clusters(p, "p_partkey", ["p_brand"], "t", 0.4)
 
 
 @query("company_merge", "WITH o AS (SELECT CASE WHEN o_custkey % 10 = 3 THEN o_custkey - 3 ELSE o_custkey END AS company FROM orders) SELECT company, count(*) AS n FROM o GROUP BY company")
